@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, sharding, simhash
+from . import decontamination, line_dedup, mixing, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             decontamination.op1_decontamination,
+            quality.op2_quality_classifier,
             line_dedup.op3_line_dedup,
             simhash.op4_simhash_near_dedup,
             mixing.op5_source_mixing,

@@ -4,7 +4,8 @@ The key of a record is (hash of its text, doc_id), so equal texts lie side by si
 proportion to their size; quantiles of the drawn hashes are the splitters of many more ranges than shards. Ranges that turn
 out overfull (a text that a third of all rows repeat) are subdivided by doc_id with splitters from a second draw. Whole
 ranges then go to shards, the largest first, each to the shard with the fewest bytes. The law is `bytes`: shards have nearly
-equal sizes, and equal texts share a shard unless they fill more than a range.
+equal sizes, and equal texts share a shard unless they fill more than a tenth
+of one.
 
 The slot of a record is its range's offset in the shard plus its place in the range: no task ever numbers a whole shard.
 
@@ -25,6 +26,8 @@ from .shared import read, stored
 
 #: Ranges for each shard at least, bytes for a range at most, drawn rows for a range.
 RANGES, RANGE_BYTES, DRAWN = 64, 256 << 20, 24
+#: Equal texts stay together while they fill at most this part of a shard.
+WHOLE = 0.1
 LEAST = -(1 << 63)
 
 
@@ -67,13 +70,18 @@ def draw(rows: DataFrame, total: int, count: int, by_doc: bool, seed: int) -> li
     return [tuple(r) for r in kept.groupBy("_h", "_d").agg(F.sum("w")).collect()]  # about `count` rows at most
 
 
-def quantiles(drawn: list[tuple[int, int, float]], pieces: int) -> list[tuple[int, int]]:
+def quantiles(drawn: list[tuple[int, int, float]], pieces: int, whole: float = float("inf")) -> list[tuple[int, int]]:
+    """Keys that cut `drawn` into pieces of equal weight, moved to the start of their text unless it weighs over `whole`."""
     drawn = sorted(drawn)
     if not drawn or pieces < 2:
         return []
     at = np.cumsum([x[2] for x in drawn])
     cuts = np.searchsorted(at, np.arange(1, pieces) * at[-1] / pieces, "right")
-    return sorted({drawn[min(i, len(drawn) - 1)][:2] for i in cuts})
+    weight: dict[int, float] = {}
+    for h, _, w in drawn:
+        weight[h] = weight.get(h, 0.0) + w
+    found = (drawn[min(i, len(drawn) - 1)] for i in cuts)
+    return sorted({(h, d if weight[h] > whole else LEAST) for h, d, _ in found})
 
 
 def plan_shards(rows: DataFrame, n_shards: int = 16, seed: int = 17) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -96,7 +104,7 @@ def plan_shards(rows: DataFrame, n_shards: int = 16, seed: int = 17) -> tuple[li
         parts: dict[int, list] = {}
         for x, k in zip(more, where):
             parts.setdefault(int(k), []).append(x)
-        found = {s for k, b in over.items() for s in quantiles(parts.get(k, []), int(np.ceil(b / full)))}
+        found = {s for k, b in over.items() for s in quantiles(parts.get(k, []), int(np.ceil(b / full)), WHOLE * total / n_shards)}
         if found <= set(splits):
             break
         splits = sorted(set(splits) | found)

@@ -137,7 +137,8 @@ def near_components(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFr
     roots = components(near_links(distinct, bits))
     linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return prints.join(linked.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    found = checkpointed(linked.join(least, "root").select("fp", "component_id"))
+    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
