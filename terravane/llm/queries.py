@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, quality, sharding, simhash
+from . import decontamination, embedding_dedup, line_dedup, mixing, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -14,10 +14,11 @@ def queries() -> dict:
             line_dedup.op3_line_dedup,
             simhash.op4_simhash_near_dedup,
             mixing.op5_source_mixing,
+            embedding_dedup.op7_embedding_near_dedup,
             sharding.op8_sharding,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.OP1_SQL, "op3_line_dedup": line_dedup.OP3_SQL}
+    return {"op1_decontamination": decontamination.OP1_SQL, "op3_line_dedup": line_dedup.OP3_SQL, "op7_embedding_near_dedup": embedding_dedup.OP7_SQL}
