@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, line_dedup, mixing, quality, sharding, simhash
+from . import decontamination, embedding_dedup, hmm, line_dedup, mixing, pii, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -14,8 +14,10 @@ def queries() -> dict:
             line_dedup.op3_line_dedup,
             simhash.op4_simhash_near_dedup,
             mixing.op5_source_mixing,
+            hmm.op6_lm_scoring,
             embedding_dedup.op7_embedding_near_dedup,
             sharding.op8_sharding,
+            pii.op9_personal_data,
         )
     }
 
