@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, hmm, line_dedup, mixing, pii, quality, sharding, simhash
+from . import decontamination, embedding_dedup, hmm, line_dedup, mixing, pii, quality, sharding, simhash, substring_dedup
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
             embedding_dedup.op7_embedding_near_dedup,
             sharding.op8_sharding,
             pii.op9_personal_data,
+            substring_dedup.op10_substring_dedup,
         )
     }
 
