@@ -1,0 +1 @@
+"""Address search and enrichment on Spark DataFrames."""

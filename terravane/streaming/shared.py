@@ -1,0 +1,14 @@
+"""A folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="terravane-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
