@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import address, labels
 from ..functions.text import padded, tokens_folded, tokens_standard
 from ..operators.search import B, K1
+from ..operators.settle import settled
 from .parse import spellings
 
 FIELDS = ("postcode", "unit", "number", "region")
@@ -40,12 +41,12 @@ def with_lookups(parsed: DataFrame, lookups: Lookups) -> DataFrame:
     rows = labels.with_languages(rows, "country_code", lookups.languages)
     each = rows.select("query_id", F.explode("parsed.city").alias("_city"))
     found = labels.with_aliases(each, "_city", lookups.aliases).groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("city_aliases"))
-    return rows.drop("_country").join(found, "query_id", "left")
+    return settled(rows.drop("_country").join(found, "query_id", "left"))  # many plans start here
 
 
 def phrase_hits(phrases: DataFrame, docs: DataFrame, tokens: str) -> DataFrame:
     """(query_id, _id) where a phrase (query_id, code, words) occurs in a row; a null code is any country."""
-    words = phrases.where(F.size("words") > 0).withColumn("n", F.monotonically_increasing_id())
+    words = settled(phrases.where(F.size("words") > 0).withColumn("n", F.monotonically_increasing_id()))
     each = words.select("n", F.explode(F.array_distinct("words")).alias("token"))
     post = docs.select("_id", "country_code", F.explode(F.array_distinct(tokens)).alias("token"))
     df = post.join(each.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
@@ -122,7 +123,7 @@ def street_hits(queries: DataFrame, addresses: DataFrame) -> DataFrame:
     in_city = q.where("city_aliases is not null").select("query_id", "code", F.explode("city_aliases").alias("alias")).select("query_id", "code", tokens_folded(F.col("alias")).alias("words"))
     city = phrase_hits(in_city, docs, "_t_city")
     free = q.where("city_aliases is null").select("query_id")
-    hits = on_road.join(city, ["query_id", "_id"], "left_semi").union(on_road.join(free, "query_id", "left_semi"))
+    hits = settled(on_road.join(city, ["query_id", "_id"], "left_semi").union(on_road.join(free, "query_id", "left_semi")))
     scored = street_scores(hits, q, docs)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("_id"))
     best = scored.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
@@ -133,9 +134,9 @@ def forward_street(queries: DataFrame, sources: list[tuple[str, DataFrame]], lan
     """(query_id, location, other): from the first source that has an answer."""
     left, out = queries, None
     for name, table in sources:
-        found = street_hits(left, table).withColumn("source", F.lit(name)).select("query_id", "_id", *(F.col(c) for c in ("street", "unit", "city", "district", "region", "postcode", "country_code", "location", "source")))
+        found = settled(street_hits(left, table)).withColumn("source", F.lit(name)).select("query_id", "_id", *(F.col(c) for c in ("street", "unit", "city", "district", "region", "postcode", "country_code", "location", "source")))
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select("query_id"), "query_id", "left_anti")
+        left = settled(left.join(found.select("query_id"), "query_id", "left_anti"))
     hit = out.withColumn("country_code", address.blank(F.col("country_code"))).join(queries.select("query_id", "parsed"), "query_id")
     hit = labels.with_languages(hit, "country_code", languages, "_languages")
     b = address.blank
