@@ -32,14 +32,20 @@ from .windows import WINDOW, Runs, mix
 
 #: Bits of an anchor hash that the filter sees; bits of the filter at most; bytes of text in one computation; rows held in a task;
 #: different runs that make an anchor very common; windows in one radix sort.
-SEEN, FILTER, BLOCK, HELD, COMMON, SORTED = 40, 28, 400_000, 4_000_000, 512, 200_000
+SEEN, FILTER, BLOCK, HELD, COMMON, SORTED = 40, 28, 100_000, 4_000_000, 50_000, 200_000
 _ROW = "gram bigint, whole bigint, doc bigint, pack bigint"
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """Texts that have a window, with 24 bits that tell rows of one doc_id apart."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", (F.xxhash64(text).bitwiseAND(0xFFFFFF)).alias("tag"), text.alias("text"))
+def _tag(docs: DataFrame):
+    """24 bits that tell rows of one doc_id apart; 0 if no doc_id repeats."""
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFF)
+    return F.lit(0).cast("bigint")
+
+
+def _texts(docs: DataFrame, tag) -> DataFrame:
+    """Texts of documents with an id."""
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", tag.alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _blocks(batches):
@@ -130,7 +136,7 @@ class Filter:
     @classmethod
     def of(cls, values: DataFrame) -> Filter:
         """From `v`, SEEN-bit hashes. Slices of the bitmap are made where the values are and gathered: FILTER bits at most."""
-        bits = min(FILTER, max(20, int(16 * values.count()).bit_length()))
+        bits = min(FILTER, max(20, int(32 * values.count()).bit_length()))
         n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         wide = 14  # bits in a slice, as a power of two
 
@@ -158,7 +164,8 @@ def _shared_filter(texts: DataFrame) -> Filter:
     return Filter.of(stored(rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "v bigint"), "anchors"))
 
 
-# ---- 2. and 3. runs, rows (gram, whole, doc, pack); a covered interval has whole = its length and gram = 0
+# ---- 2. and 3. runs, rows (gram, whole, doc, pack); a covered interval has whole = its length
+# and travels with the runs, dealt out by its document
 
 
 def _covered(doc, tag, at, size) -> pa.RecordBatch:
@@ -172,17 +179,24 @@ def _covered(doc, tag, at, size) -> pa.RecordBatch:
         first = np.flatnonzero(fresh)
         last = np.r_[first[1:], len(doc)] - 1
         doc, tag, at, end = doc[first], tag[first], at[first], reach[last]
-    return _rows(0, np.zeros(len(doc), np.int64), end - at, doc, _pack(tag, at, np.zeros(len(doc), np.int64)))
+    return _rows(0, mix(doc.view(np.uint64) + np.uint64(1)), end - at, doc, _pack(tag, at, np.zeros(len(doc), np.int64)))
 
 
 def _rows(kind, gram, whole, doc, pack, text=None) -> pa.RecordBatch:
     n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(gram.astype(np.int64)), pa.array(whole.astype(np.int64)), pa.array(doc), pa.array(pack), pa.array(text, pa.binary()) if text is not None else pa.nulls(n, pa.binary())], names=["kind", "gram", "whole", "doc", "pack", "text"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(pack), pa.array(text, pa.binary()) if text is not None else pa.nulls(n, pa.binary())], names=["kind", "gram", "whole", "doc", "pack", "text"])
 
 
 _OUT = f"kind int, {_ROW}, text binary"
 
 
+def _parted(table: pa.Table) -> tuple[pa.Table, pa.RecordBatch]:
+    """The runs of a table, and its intervals."""
+    is_run = pa.compute.equal(table.column("kind"), 1)
+    done = table.filter(pa.compute.invert(is_run))
+    return table.filter(is_run), _rows(0, *(done.column(c).to_numpy() for c in ("gram", "whole", "doc", "pack")))
+
+
 def _settle(gram, whole, doc, pack, extra=None):
     """Of equal runs, the first document's stays; of the others, the intervals are covered. Sorted rows and the split."""
     order = np.lexsort((doc, whole, gram))
@@ -224,6 +238,8 @@ def _meet(often: int):
 
     def scan(batches):
         for table in whole_groups(batches, "gram"):
+            table, done = _parted(table)
+            yield done
             gram, whole, doc, pack = (table.column(c).to_numpy() for c in ("gram", "whole", "doc", "pack"))
             (g, _, d, _), covered, _ = _settle(gram, whole, doc, pack)
             yield covered
@@ -317,6 +333,8 @@ def radix_groups(group: np.ndarray, windows: np.ndarray, doc: np.ndarray) -> np.
 
 def _sort_windows(batches):
     for table in whole_groups(batches, "gram"):
+        table, done = _parted(table)
+        yield done
         gram, whole, doc, pack = (table.column(c).to_numpy() for c in ("gram", "whole", "doc", "pack"))
         (g, w, d, p), covered, at = _settle(gram, whole, doc, pack)
         text = table.column("text").combine_chunks().take(pa.array(at)).to_pylist()
@@ -349,19 +367,18 @@ def _sorted(todo, text, d, p) -> pa.RecordBatch:
     return _covered(doc[hit], tag[run][hit], at[run][hit] + step[hit], np.full(int(hit.sum()), WINDOW, np.int64))
 
 
-def covered(docs: DataFrame, common: int = COMMON) -> DataFrame:
+def covered(docs: DataFrame, tag, common: int = COMMON) -> DataFrame:
     """(doc_id, tag, gone): the intervals (start, size) of bytes to remove, for documents that lose any; they may overlap."""
     spark = docs.sparkSession
-    texts = _texts(docs)
+    texts = _texts(docs, tag)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = _shared_filter(texts)
-    sent = stored(texts.mapInArrow(_runs(_broadcast(spark, shared)), _OUT), "runs")
-    dealt = lambda rows, *more: rows.where("kind = 1").select("gram", "whole", "doc", "pack", *more).repartition(n, "gram").sortWithinPartitions("gram")
+    dealt = lambda rows: rows.repartition(n, "gram").sortWithinPartitions("gram")
+    sent = texts.mapInArrow(_runs(_broadcast(spark, shared)), _OUT).drop("text")
     met = stored(dealt(sent).mapInArrow(_meet(common), _OUT), "run-groups")
     named = [Filter.of(met.where(f"kind = {k}").select(F.col("gram").alias("v"))) for k in (2, 3)]
-    left = stored(texts.mapInArrow(_open_runs(*(_broadcast(spark, x) for x in named)), _OUT), "open-runs")
-    last = dealt(left, "text").mapInArrow(_sort_windows, _OUT)
-    gone = sent.where("kind = 0").union(met.where("kind = 0")).union(left.where("kind = 0")).union(last)
+    left = texts.mapInArrow(_open_runs(*(_broadcast(spark, x) for x in named)), _OUT)
+    gone = met.where("kind = 0").union(dealt(left).mapInArrow(_sort_windows, _OUT))
     tag, at = F.shiftright("pack", 40).bitwiseAND(0xFFFFFF), F.shiftright("pack", 8).bitwiseAND(0xFFFFFFFF)
     return gone.select(F.col("doc").alias("doc_id"), tag.alias("tag"), F.struct(at.alias("start"), F.col("whole").alias("size")).alias("x")).groupBy("doc_id", "tag").agg(F.collect_list("x").alias("gone"))
 
@@ -378,9 +395,9 @@ class _broadcast:
 
 
 def _joined(docs: DataFrame, common: int = COMMON) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    here = docs.select("doc_id", "text", (F.xxhash64(text).bitwiseAND(0xFFFFFF)).alias("tag"))
-    return here.join(covered(docs, common), ["doc_id", "tag"], "left").select("doc_id", "text", F.col("gone.start").alias("start"), F.col("gone.size").alias("size"))
+    tag = _tag(docs)
+    here = docs.select("doc_id", "text", tag.alias("tag"))
+    return here.join(covered(docs, tag, common), ["doc_id", "tag"], "left").select("doc_id", "text", F.col("gone.start").alias("start"), F.col("gone.size").alias("size"))
 
 
 def removed(size: int, starts, sizes) -> np.ndarray:

@@ -73,7 +73,7 @@ class Runs:
         which = np.searchsorted(starts, first, "right") - 1
         sound = first < stop[which]
         first, count, which = first[sound], count[sound], which[sound]
-        self.gram = h[anchor[first]]
+        self.gram = mix(h[anchor[first]] * _A)  # anchors are least values; mixed again they are even
         end = first + count + WINDOW - 1 - GRAM
         size = (count + (anchor[first] - first) * 64).astype(np.uint64)
         whole = mix(h[first] * _B + size)
