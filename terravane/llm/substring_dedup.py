@@ -198,15 +198,16 @@ def _parted(table: pa.Table) -> tuple[pa.Table, pa.RecordBatch]:
 
 
 def _settle(gram, whole, doc, pack, extra=None):
-    """Of equal runs, the first document's stays; of the others, the intervals are covered. Sorted rows and the split."""
-    order = np.lexsort((doc, whole, gram))
+    """Of equal runs, the first document's stay; of the others, the intervals are covered. Sorted rows and the split."""
+    order = np.lexsort((pack, doc, whole, gram))
     gram, whole, doc, pack = gram[order], whole[order], doc[order], pack[order]
     fresh = _first_of(gram, whole)
     group = np.cumsum(fresh) - 1
     least = doc[np.flatnonzero(fresh)][group] if len(doc) else doc
     follow = doc > least
     tag, at, count = _unpack(pack[follow])
-    return (gram[fresh], whole[fresh], doc[fresh], pack[fresh]), _covered(doc[follow], tag, at, count + WINDOW - 1), order[fresh]
+    stays = ~follow & _first_of(gram, whole, pack)  # a document can hold a run in several places
+    return (gram[stays], whole[stays], doc[stays], pack[stays]), _covered(doc[follow], tag, at, count + WINDOW - 1), order[stays]
 
 
 def _runs(passes: Filter):
@@ -241,11 +242,11 @@ def _meet(often: int):
             table, done = _parted(table)
             yield done
             gram, whole, doc, pack = (table.column(c).to_numpy() for c in ("gram", "whole", "doc", "pack"))
-            (g, _, d, _), covered, _ = _settle(gram, whole, doc, pack)
+            (g, w, d, _), covered, _ = _settle(gram, whole, doc, pack)
             yield covered
             first = np.flatnonzero(_first_of(g))
-            n = np.diff(np.r_[first, len(g)])
-            least, most = (f.reduceat(d, first) for f in (np.minimum, np.maximum))
+            n = np.add.reduceat(_first_of(g, w).astype(np.int64), first) if len(g) else first
+            least, most = (f.reduceat(d, first) if len(d) else d for f in (np.minimum, np.maximum))
             for kind, pick in ((2, (n > 1) & (n <= often)), (3, n > often)):
                 v = (g[first[pick & (least < most)]].view(np.uint64) >> np.uint64(64 - SEEN)).astype(np.int64)
                 zero = np.zeros(len(v), np.int64)
