@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .shared import read, stored, utf8
 
 FOLD, FOLDS = 1, 5
-STATES, CLASSES, SUFFIX, PIECE = 8, 4096, 4, 64
+#: States, classes, bytes that decide a class; tokens of a piece, and of a document that is not cut.
+STATES, CLASSES, SUFFIX, PIECE, SHORT = 8, 4096, 4, 64, 768
 #: Full passes; documents, bytes of one and rounds for the start; the share that makes a token common.
 PASSES, START_DOCS, START_BYTES, START_ROUNDS, HEAD = 2, 400, 64_000, 12, 1 << 20
 #: Tokens in one computation, and words whose class is remembered.
-BLOCK, REMEMBERED = 150_000, 500_000
+BLOCK, REMEMBERED = 400_000, 500_000
 END = CLASSES - 1
 
 
@@ -71,40 +72,39 @@ class Hmm:
 
 
 class Pieces:
-    """The class sequences of some documents as pieces of at most PIECE tokens, longest first."""
+    """The class sequences of some documents as pieces of at most `size` tokens, longest first; `obs` is (place, piece)."""
 
-    def __init__(self, docs: list[list[int]]):
+    def __init__(self, docs: list[list[int]], size: int):
         self.sizes = np.array([len(d) for d in docs])
-        flat = np.concatenate([np.asarray(d, np.int64) for d in docs])
-        per = -(-self.sizes // PIECE)
-        self.first_of = np.concatenate([[0], np.cumsum(per)[:-1]])  # a document's first piece
+        flat = np.concatenate([np.asarray(d, np.int32) for d in docs])
+        per = -(-self.sizes // size)
+        self.first_of = np.cumsum(per) - per  # a document's first piece
         doc = np.repeat(np.arange(len(docs)), per)
         nth = np.arange(len(doc)) - self.first_of[doc]
-        begin = (np.cumsum(self.sizes) - self.sizes)[doc] + nth * PIECE
-        length = np.minimum(PIECE, self.sizes[doc] - nth * PIECE)
+        begin = (np.cumsum(self.sizes) - self.sizes)[doc] + nth * size
+        length = np.minimum(size, self.sizes[doc] - nth * size)
         self.order = np.argsort(-length, kind="stable")
         self.rank = np.empty_like(self.order)
         self.rank[self.order] = np.arange(len(doc))
-        self.per, self.doc, self.nth = per, doc[self.order], nth[self.order]
-        self.length, begin = length[self.order], begin[self.order]
-        at = begin[:, None] + np.arange(PIECE)
+        self.per, self.doc = per, doc[self.order]
+        self.opening = nth[self.order] == 0
+        self.length = length[self.order]
+        at = np.arange(int(self.length[0]))[:, None] + begin[self.order]
         self.obs = flat[np.minimum(at, len(flat) - 1)]
-        self.live = [int(np.searchsorted(-self.length, -t, "left")) for t in range(PIECE)]  # pieces longer than t
+        self.live = np.searchsorted(-self.length, -np.arange(len(self.obs)), "left")  # pieces longer than t
 
-    def transfers(self, m: Hmm) -> tuple[np.ndarray, np.ndarray]:
+    def transfers(self, m: Hmm, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scaled K x K products of each piece, and the logarithms of the scales."""
         n = len(self.doc)
-        x = np.broadcast_to(np.eye(STATES), (n, STATES, STATES)).copy()
+        x = np.broadcast_to(np.eye(STATES, dtype=m.move.dtype), (n, STATES, STATES)).copy()
         log = np.zeros(n)
-        opening = self.nth == 0
-        for t in range(int(self.length[0])):
-            c = self.live[t]
+        for t, c in enumerate(self.live):
             y = x[:c]
             step = (y.reshape(-1, STATES) @ m.move).reshape(c, STATES, STATES)
             if t == 0:
-                step[opening[:c]] = y[opening[:c]]  # a document starts without a move
-            step *= m.emit[self.obs[:c, t]][:, None, :]
-            if t % 8 == 7 or t == PIECE - 1:
+                step[self.opening[:c]] = y[self.opening[:c]]  # a document starts without a move
+            step *= emit[t, :c, None, :]
+            if t % 4 == 3 or t == len(self.live) - 1:
                 scale = step.max(axis=(1, 2))
                 step /= scale[:, None, None]
                 log[:c] += np.log(scale)
@@ -113,7 +113,7 @@ class Pieces:
 
     def chained(self, m: Hmm, x: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The natural logarithm of each document's likelihood, and the state weights before each piece."""
-        before = np.zeros((len(self.doc), STATES))
+        before = np.zeros((len(self.doc), STATES), m.move.dtype)
         total = np.zeros(len(self.sizes))
         state = np.tile(m.start, (len(self.sizes), 1))
         docs = np.arange(len(self.sizes))
@@ -129,8 +129,8 @@ class Pieces:
 
     def after(self, x: np.ndarray) -> np.ndarray:
         """The backward weights behind each piece."""
-        out = np.ones((len(self.doc), STATES))
-        weight = np.ones((len(self.sizes), STATES))
+        out = np.ones((len(self.doc), STATES), x.dtype)
+        weight = np.ones((len(self.sizes), STATES), x.dtype)
         for j in range(int(self.per.max()) - 1, -1, -1):
             docs = np.flatnonzero(self.per > j)
             piece = self.rank[self.first_of[docs] + j]
@@ -139,69 +139,89 @@ class Pieces:
             weight[docs] = back / back.max(axis=1, keepdims=True)
         return out
 
+    def forward(self, m: Hmm, emit: np.ndarray, state: np.ndarray, alpha: np.ndarray | None) -> np.ndarray:
+        """Scaled forward recursion within pieces from the weights before them; the logarithms of the scales."""
+        ones, log = np.ones((STATES, 1), m.move.dtype), np.zeros(len(self.doc))
+        for t, c in enumerate(self.live):
+            step = state[:c] @ m.move
+            if t == 0:
+                step[self.opening] = state[self.opening]
+            step *= emit[t, :c]
+            scale = step @ ones
+            step /= scale
+            log[:c] += np.log(scale[:, 0])
+            state = step
+            if alpha is not None:
+                alpha[t, :c] = step
+        return log
+
 
 def likelihoods(m: Hmm, docs: list[list[int]]) -> np.ndarray:
-    """log10 of the probability of each class sequence."""
-    p = Pieces(docs)
-    return p.chained(m, *p.transfers(m))[0] / np.log(10)
+    """log10 of the probability of each class sequence. Short documents go side by side, long ones in pieces."""
+    if max(map(len, docs)) <= SHORT:
+        p = Pieces(docs, SHORT)
+        total = p.forward(m, m.emit[p.obs], np.tile(m.start, (len(docs), 1)), None)[p.rank]
+    else:
+        p = Pieces(docs, PIECE)
+        total = p.chained(m, *p.transfers(m, m.emit[p.obs]))[0]
+    return total / np.log(10)
 
 
 def expected(m: Hmm, docs: list[list[int]]) -> np.ndarray:
-    """Expected counts of start, move and emit, then the log likelihood and the tokens."""
-    p = Pieces(docs)
-    x, log = p.transfers(m)
-    total, before = p.chained(m, x, log)
-    behind = p.after(x)
-    n, length = len(p.doc), int(p.length[0])
-    alpha = np.zeros((length, n, STATES))
-    state, opening = before, p.nth == 0
-    for t in range(length):
-        c = p.live[t]
-        step = state[:c] @ m.move
-        if t == 0:
-            step[opening[:c]] = state[:c][opening[:c]]
-        step *= m.emit[p.obs[:c, t]]
-        step /= step.sum(axis=1, keepdims=True)
-        alpha[t, :c] = state = step
+    """Expected counts of start, move and emit, then the log likelihood and the tokens. In single precision."""
+    m = Hmm(*(x.astype(np.float32) for x in (m.start, m.move, m.emit)))
+    short = max(map(len, docs)) <= SHORT
+    p = Pieces(docs, SHORT if short else PIECE)
+    emit = m.emit[p.obs]
+    if short:
+        total, before, behind = None, np.tile(m.start, (len(docs), 1)), np.ones((len(docs), STATES), np.float32)
+    else:
+        x, log = p.transfers(m, emit)
+        total, before = p.chained(m, x, log)
+        behind = p.after(x)
+    alpha = np.zeros((*p.obs.shape, STATES), np.float32)
+    log = p.forward(m, emit, before, alpha)
+    total = log if total is None else total
     start, move = np.zeros(STATES), np.zeros((STATES, STATES))
-    emit = np.zeros(CLASSES * STATES)
-    beta = behind.copy()
-    gammas, seen = [], []
-    for t in range(length - 1, -1, -1):
+    ones, beta, back_move = np.ones((STATES, 1), np.float32), behind, np.ascontiguousarray(m.move.T)
+    live = np.zeros(p.obs.shape, bool)
+    for t in range(len(p.live) - 1, -1, -1):
         c = p.live[t]
+        live[t, :c] = True
+        ahead = emit[t, :c] * beta[:c]
         gamma = alpha[t, :c] * beta[:c]
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        gammas.append(gamma)
-        seen.append(p.obs[:c, t])
-        ahead = m.emit[p.obs[:c, t]] * beta[:c]
-        previous = alpha[t - 1, :c] if t else before[:c]
-        back = ahead @ m.move.T
-        norm = (previous * back).sum(axis=1)
+        gamma /= gamma @ ones
+        back = ahead @ back_move
         if t:
-            move += (previous / norm[:, None]).T @ ahead
+            previous = alpha[t - 1, :c]
+            move += (previous / ((previous * back) @ ones)).T @ ahead
         else:
-            inner = ~opening[:c]
-            move += (previous[inner] / norm[inner, None]).T @ ahead[inner]
-            start += gamma[opening[:c]].sum(axis=0)
-        beta[:c] = back / back.max(axis=1, keepdims=True)
-    index = (np.concatenate(seen)[:, None] * STATES + np.arange(STATES)).ravel()
-    emit += np.bincount(index, weights=np.concatenate(gammas).ravel(), minlength=CLASSES * STATES)
-    return np.concatenate([start, (move * m.move).ravel(), emit, [total.sum(), p.sizes.sum()]])
+            previous, inner = before[:c], ~p.opening[:c]
+            move += (previous[inner] / ((previous[inner] * back[inner]) @ ones)).T @ ahead[inner]
+            start += gamma[p.opening[:c]].sum(axis=0)
+        alpha[t, :c] = gamma  # done with; now the state probabilities
+        back /= back @ ones
+        beta[:c] = back
+    seen, gamma = p.obs[live], alpha[live]
+    out = np.stack([np.bincount(seen, weights=gamma[:, k], minlength=CLASSES) for k in range(STATES)], axis=1)
+    return np.concatenate([start, (move * m.move).ravel(), out.ravel(), [total.sum(), p.sizes.sum()]])
 
 
 def blocks(texts, classes: Classes):
-    """Class sequences of bytes texts, with their words, about BLOCK tokens at a time."""
-    seqs, words, size = [], [], 0
-    for text in texts:
+    """(places, class sequences, words) of bytes texts, about BLOCK tokens at a time; long and short ones apart."""
+    held: dict[bool, list] = {False: [[], [], [], 0], True: [[], [], [], 0]}
+    for i, text in enumerate(texts):
         w = text.lower().split()
-        seqs.append([*map(classes.__getitem__, w), END])
-        words.append(w)
-        size += len(w) + 1
-        if size >= BLOCK:
-            yield seqs, words
-            seqs, words, size = [], [], 0
-    if seqs:
-        yield seqs, words
+        long = len(w) >= SHORT
+        part = held[long]
+        part[0].append(i), part[1].append([*map(classes.__getitem__, w), END]), part[2].append(w)
+        part[3] += len(w) + 1
+        if part[3] >= BLOCK:
+            yield part[:3]
+            held[long] = [[], [], [], 0]
+    for part in held.values():
+        if part[0]:
+            yield part[:3]
 
 
 def key(word: bytes) -> bytes:
@@ -217,11 +237,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """(tok, g, c): the key, class and count of each token over whole texts; counted in each task, then added up."""
 
     def rows(total: Counter, ends: int, classes: Classes):
-        merged: Counter = Counter({(b"", END): ends} if ends else {})
-        for w, c in total.items():
-            merged[key(w), classes[w]] += c
-        toks, gs = zip(*merged)
-        return pa.RecordBatch.from_arrays([pa.array(toks, pa.binary()), pa.array(gs, pa.int32()), pa.array(list(merged.values()), pa.int64())], names=["tok", "g", "c"])
+        toks, gs = [b"", *map(key, total)], [END, *map(classes.__getitem__, total)]
+        return pa.RecordBatch.from_arrays([pa.array(toks, pa.binary()), pa.array(gs, pa.int32()), pa.array([ends, *total.values()], pa.int64())], names=["tok", "g", "c"])
 
     def scan(batches):
         total, ends, classes = Counter(), 0, Classes()
@@ -245,13 +262,13 @@ def train(docs: DataFrame, passes: int = PASSES) -> Hmm:
     m = Hmm.first()
     texts = [r.text.encode() for r in sample]
     for _ in range(START_ROUNDS if texts else 0):
-        m = Hmm.of(sum(expected(m, seqs) for seqs, _ in blocks(texts, Classes())))
+        m = Hmm.of(sum(expected(m, seqs) for _, seqs, _ in blocks(texts, Classes())))
     for _ in range(passes):
 
         def scan(batches, m=m):
             total, classes = 0.0, Classes()
             texts = (t for batch in batches for t in utf8(batch.column("text")))
-            for seqs, _ in blocks(texts, classes):
+            for _, seqs, _ in blocks(texts, classes):
                 total = total + expected(m, seqs)
             if isinstance(total, np.ndarray):
                 at = np.flatnonzero(total)
@@ -280,42 +297,34 @@ _ROWS = "kind int, row bigint, doc_id bigint, n_tokens bigint, n_known bigint, k
 def _score(m: Hmm, common: dict[bytes, float], class_log: np.ndarray):
     def scan(batches):
         classes, row = Classes(), TaskContext.get().partitionId() << 40
-        ends = common.get(b"", None)
-
-        def rare(owner, toks, times):
-            n = len(owner)
-            none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(owner, pa.int64()), none, none, none, pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.array(toks, pa.binary()), pa.array(times, pa.int64())], names=names)
-
         names = [x.split()[0] for x in _ROWS.split(", ")]
         for batch in batches:
-            ids, done = batch.column("doc_id"), 0
-            for seqs, words in blocks(utf8(batch.column("text")), classes):
-                chance = likelihoods(m, seqs)
-                known, scores, owner, toks, times = [], [], [], [], []
-                for seq, w in zip(seqs, words):
-                    n, total = (0, 0.0) if ends is None else (1, ends)
-                    if ends is None:
-                        owner.append(row), toks.append(b""), times.append(1)
-                    for word, c in Counter(w).items():
-                        if (value := common.get(word)) is not None:
-                            n += c
-                            total += c * value
-                        else:
-                            owner.append(row), toks.append(key(word)), times.append(c)
-                    known.append(n), scores.append(total)
-                    row += 1
-                sizes = np.array([len(q) for q in seqs])
+            ids = batch.column("doc_id")
+            for places, seqs, words in blocks(utf8(batch.column("text")), classes):
+                k, sizes = len(seqs), np.array([len(q) for q in seqs])
                 flat = class_log[np.concatenate([np.asarray(q, np.int64) for q in seqs])]
-                within = np.add.reduceat(flat, np.cumsum(sizes) - sizes)
-                k = len(seqs)
+                score = likelihoods(m, seqs) - np.add.reduceat(flat, np.cumsum(sizes) - sizes)
+                # Every distinct token of every document, the end token among them.
+                tokens, times, kinds = [], [], []
+                for w in words:
+                    counted = Counter(w)
+                    tokens.extend(counted), tokens.append(b"")
+                    times.extend(counted.values()), times.append(1)
+                    kinds.append(len(counted) + 1)
+                value = np.array(list(map(common.get, tokens)), np.float64)  # NaN for those that are not common
+                of, times = np.repeat(np.arange(k), kinds), np.array(times)
+                is_common = ~np.isnan(value)
+                known = np.bincount(of[is_common], weights=times[is_common], minlength=k).astype(np.int64)
+                known_score = np.bincount(of[is_common], weights=(value * times)[is_common], minlength=k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(k, np.int32)), pa.array(np.arange(row - k, row)), ids.slice(done, k), pa.array(sizes), pa.array(known, pa.int64()), pa.array(scores, pa.float64()), pa.array(chance - within), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())],
+                    [pa.array(np.zeros(k, np.int32)), pa.array(np.arange(row, row + k)), ids.take(pa.array(places)), pa.array(sizes), pa.array(known), pa.array(known_score), pa.array(score), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())],
                     names=names,
                 )
-                done += k
-                if owner:
-                    yield rare(owner, toks, times)
+                rest = np.flatnonzero(~is_common)
+                n, none, no_score = len(rest), pa.nulls(len(rest), pa.int64()), pa.nulls(len(rest), pa.float64())
+                toks = pa.array([key(tokens[i]) for i in rest.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(row + of[rest]), none, none, none, no_score, no_score, toks, pa.array(times[rest])], names=names)
+                row += k
 
     return scan
 
