@@ -273,18 +273,19 @@ class Compiler:
         if not (body.filters or body.musts or body.shoulds or body.nots):
             return F.lit(True), F.lit(1.0)
         safe = lambda p: F.coalesce(p, F.lit(False))
-        filters = [safe(self.clause(c, False)[0]) for c in body.filters]
+        # What is null does not pass a filter either, and a bare comparison can be pushed to the scan.
+        filters = [self.clause(c, False)[0] for c in body.filters]
         musts = [self.clause(c, self.scored) for c in body.musts]
         shoulds = [self.clause(c, self.scored) for c in body.shoulds]
         nots = [safe(self.clause(c, False)[0]) for c in body.nots]
         least = body.minimum
         if least is None:
             least = 1 if shoulds and not (filters or musts) else 0
-        parts = filters + [safe(m) for m, _ in musts] + [~n for n in nots]
+        parts = filters + [m for m, _ in musts] + [~n for n in nots]
         if least == 1 and shoulds:
-            some = safe(shoulds[0][0])
+            some = shoulds[0][0]
             for m, _ in shoulds[1:]:
-                some = some | safe(m)
+                some = some | m
             parts.append(some)
         elif least > 0:
             parts.append(sum((safe(m).cast("int") for m, _ in shoulds), F.lit(0)) >= least)
@@ -333,7 +334,7 @@ class Compiler:
             score = zero
             if scored:
                 for t in words:
-                    score = score + self.corpus.bm25(c.key, [t], F.size(F.filter(tokens, lambda x, t=t: x == t)))
+                    score = score + self.corpus.bm25(c.key, [t], text.phrase_count(tokens, [t]))
             return text.match_any(tokens, query), score
         if c.kind == "child":
             return F.col(_child_column(c)).isNotNull(), F.coalesce(F.col(_child_column(c)), zero)
