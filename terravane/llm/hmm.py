@@ -20,7 +20,6 @@ training; a null doc_id is in training and not held out; without training rows e
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -36,20 +35,33 @@ FOLD, FOLDS = 1, 5
 STATES, CLASSES, SUFFIX, PIECE, SHORT = 8, 4096, 4, 64, 768
 #: Full passes; documents, bytes of one and rounds for the start; the share that makes a token common.
 PASSES, START_DOCS, START_BYTES, START_ROUNDS, HEAD = 2, 400, 64_000, 12, 1 << 20
-#: Tokens in one computation, and words whose class is remembered.
-BLOCK, REMEMBERED = 400_000, 500_000
+#: Bytes of text in one computation, and distinct tokens that a task counts before it passes them on.
+BLOCK, COUNTED = 2_500_000, 500_000
 END = CLASSES - 1
 
 
-class Classes(dict):
-    """word -> class, remembered."""
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\x0b\x0c\r")] = True
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        n = zlib.crc32(word[-SUFFIX:]) % END
-        self[word] = n
-        return n
+
+def classes(texts: list[bytes], ends: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of the tokens of lower-case texts, one after another, and how many tokens each text has.
+
+    ends: whether each text's end token is among them. A class is a hash of a word's last SUFFIX bytes.
+    """
+    data = np.frombuffer(b"".join([b"\n" * SUFFIX, *(x for t in texts for x in (t, b"\n"))]), np.uint8)
+    word = ~_SPACE[data]
+    last = np.flatnonzero(word[:-1] & ~word[1:])
+    tail, inside = data[last].astype(np.uint64), np.ones(len(last), bool)
+    for i in range(1, SUFFIX):
+        inside &= word[last - i]
+        tail |= np.where(inside, data[last - i], 0).astype(np.uint64) << np.uint64(8 * i)
+    tail = tail * np.uint64(0x9E3779B97F4A7C15)
+    found = ((tail ^ (tail >> np.uint64(29))) % np.uint64(END)).astype(np.int32)
+    stop = SUFFIX + np.cumsum([len(t) + 1 for t in texts])
+    upto = np.searchsorted(last, stop)
+    sizes = np.diff(upto, prepend=0)
+    return (np.insert(found, upto, END), sizes + 1) if ends else (found, sizes)
 
 
 class Hmm:
@@ -72,14 +84,13 @@ class Hmm:
 
 
 class Pieces:
-    """The class sequences of some documents as pieces of at most `size` tokens, longest first; `obs` is (place, piece)."""
+    """The class sequences of some documents, one after another in `flat`, as pieces of at most `size` tokens, longest first; `obs` is (place, piece)."""
 
-    def __init__(self, docs: list[list[int]], size: int):
-        self.sizes = np.array([len(d) for d in docs])
-        flat = np.concatenate([np.asarray(d, np.int32) for d in docs])
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, size: int):
+        self.sizes = sizes
         per = -(-self.sizes // size)
         self.first_of = np.cumsum(per) - per  # a document's first piece
-        doc = np.repeat(np.arange(len(docs)), per)
+        doc = np.repeat(np.arange(len(sizes)), per)
         nth = np.arange(len(doc)) - self.first_of[doc]
         begin = (np.cumsum(self.sizes) - self.sizes)[doc] + nth * size
         length = np.minimum(size, self.sizes[doc] - nth * size)
@@ -156,25 +167,25 @@ class Pieces:
         return log
 
 
-def likelihoods(m: Hmm, docs: list[list[int]]) -> np.ndarray:
+def likelihoods(m: Hmm, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 of the probability of each class sequence. Short documents go side by side, long ones in pieces."""
-    if max(map(len, docs)) <= SHORT:
-        p = Pieces(docs, SHORT)
-        total = p.forward(m, m.emit[p.obs], np.tile(m.start, (len(docs), 1)), None)[p.rank]
+    if sizes.max() <= SHORT:
+        p = Pieces(flat, sizes, SHORT)
+        total = p.forward(m, m.emit[p.obs], np.tile(m.start, (len(sizes), 1)), None)[p.rank]
     else:
-        p = Pieces(docs, PIECE)
+        p = Pieces(flat, sizes, PIECE)
         total = p.chained(m, *p.transfers(m, m.emit[p.obs]))[0]
     return total / np.log(10)
 
 
-def expected(m: Hmm, docs: list[list[int]]) -> np.ndarray:
+def expected(m: Hmm, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Expected counts of start, move and emit, then the log likelihood and the tokens. In single precision."""
     m = Hmm(*(x.astype(np.float32) for x in (m.start, m.move, m.emit)))
-    short = max(map(len, docs)) <= SHORT
-    p = Pieces(docs, SHORT if short else PIECE)
+    short = sizes.max() <= SHORT
+    p = Pieces(flat, sizes, SHORT if short else PIECE)
     emit = m.emit[p.obs]
     if short:
-        total, before, behind = None, np.tile(m.start, (len(docs), 1)), np.ones((len(docs), STATES), np.float32)
+        total, before, behind = None, np.tile(m.start, (len(sizes), 1)), np.ones((len(sizes), STATES), np.float32)
     else:
         x, log = p.transfers(m, emit)
         total, before = p.chained(m, x, log)
@@ -207,21 +218,26 @@ def expected(m: Hmm, docs: list[list[int]]) -> np.ndarray:
     return np.concatenate([start, (move * m.move).ravel(), out.ravel(), [total.sum(), p.sizes.sum()]])
 
 
-def blocks(texts, classes: Classes):
-    """(places, class sequences, words) of bytes texts, about BLOCK tokens at a time; long and short ones apart."""
-    held: dict[bool, list] = {False: [[], [], [], 0], True: [[], [], [], 0]}
-    for i, text in enumerate(texts):
-        w = text.lower().split()
-        long = len(w) >= SHORT
-        part = held[long]
-        part[0].append(i), part[1].append([*map(classes.__getitem__, w), END]), part[2].append(w)
-        part[3] += len(w) + 1
-        if part[3] >= BLOCK:
-            yield part[:3]
-            held[long] = [[], [], [], 0]
-    for part in held.values():
-        if part[0]:
-            yield part[:3]
+def blocks(texts):
+    """(places, lower-case texts, class sequences, sizes) of bytes texts, about BLOCK bytes at a time; long documents apart."""
+
+    def split(at, some):
+        flat, sizes = classes(some)
+        for part in (sizes <= SHORT, sizes > SHORT):
+            which = np.flatnonzero(part)
+            if len(which):
+                yield at + which, [some[i] for i in which], flat[np.repeat(part, sizes)], sizes[which]
+
+    held, size, at = [], 0, 0
+    for text in texts:
+        held.append(text.lower())
+        size += len(text) + 1
+        if size >= BLOCK:
+            yield from split(at, held)
+            at += len(held)
+            held, size = [], 0
+    if held:
+        yield from split(at, held)
 
 
 def key(word: bytes) -> bytes:
@@ -236,40 +252,41 @@ def held_out():
 def token_counts(docs: DataFrame) -> DataFrame:
     """(tok, g, c): the key, class and count of each token over whole texts; counted in each task, then added up."""
 
-    def rows(total: Counter, ends: int, classes: Classes):
-        toks, gs = [b"", *map(key, total)], [END, *map(classes.__getitem__, total)]
-        return pa.RecordBatch.from_arrays([pa.array(toks, pa.binary()), pa.array(gs, pa.int32()), pa.array([ends, *total.values()], pa.int64())], names=["tok", "g", "c"])
+    def rows(total: Counter, ends: int):
+        toks, gs = [b"", *map(key, total)], np.r_[END, classes(list(total), False)[0]].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(toks, pa.binary()), pa.array(gs), pa.array([ends, *total.values()], pa.int64())], names=["tok", "g", "c"])
 
     def scan(batches):
-        total, ends, classes = Counter(), 0, Classes()
+        total, ends = Counter(), 0
         for batch in batches:
             for text in utf8(batch.column("text")):
                 total.update(text.lower().split())
                 ends += 1
-                if len(total) > REMEMBERED:
-                    yield rows(total, ends, classes)
+                if len(total) > COUNTED:
+                    yield rows(total, ends)
                     total.clear()
                     ends = 0
         if ends:
-            yield rows(total, ends, classes)
+            yield rows(total, ends)
 
     return docs.select("text").mapInArrow(scan, "tok binary, g int, c bigint").groupBy("tok", "g").agg(F.sum("c").alias("c"))
 
 
 def train(docs: DataFrame, passes: int = PASSES) -> Hmm:
     """Baum-Welch over all of `docs`, from a start on a bounded sample."""
-    sample = docs.where(F.octet_length("text") <= START_BYTES).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(START_DOCS).select("text").collect()
+    # A hash thins the rows first, so that each task sends a few of them.
+    h, n = F.xxhash64("doc_id", F.lit(3)), docs.count()
+    thin = docs.where(F.octet_length("text") <= START_BYTES).where(F.shiftrightunsigned(h, 11) < int(min(1.0, 4 * START_DOCS / max(n, 1)) * (1 << 53)))
+    texts = [r.text.encode() for r in thin.orderBy(h, "doc_id").limit(START_DOCS).select("text").collect()]
     m = Hmm.first()
-    texts = [r.text.encode() for r in sample]
     for _ in range(START_ROUNDS if texts else 0):
-        m = Hmm.of(sum(expected(m, seqs) for _, seqs, _ in blocks(texts, Classes())))
+        m = Hmm.of(sum(expected(m, flat, sizes) for _, _, flat, sizes in blocks(texts)))
     for _ in range(passes):
 
         def scan(batches, m=m):
-            total, classes = 0.0, Classes()
-            texts = (t for batch in batches for t in utf8(batch.column("text")))
-            for _, seqs, _ in blocks(texts, classes):
-                total = total + expected(m, seqs)
+            total = 0.0
+            for _, _, flat, sizes in blocks(t for batch in batches for t in utf8(batch.column("text"))):
+                total = total + expected(m, flat, sizes)
             if isinstance(total, np.ndarray):
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["i", "v"])
@@ -296,18 +313,17 @@ _ROWS = "kind int, row bigint, doc_id bigint, n_tokens bigint, n_known bigint, k
 
 def _score(m: Hmm, common: dict[bytes, float], class_log: np.ndarray):
     def scan(batches):
-        classes, row = Classes(), TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << 40
         names = [x.split()[0] for x in _ROWS.split(", ")]
         for batch in batches:
             ids = batch.column("doc_id")
-            for places, seqs, words in blocks(utf8(batch.column("text")), classes):
-                k, sizes = len(seqs), np.array([len(q) for q in seqs])
-                flat = class_log[np.concatenate([np.asarray(q, np.int64) for q in seqs])]
-                score = likelihoods(m, seqs) - np.add.reduceat(flat, np.cumsum(sizes) - sizes)
+            for places, texts, flat, sizes in blocks(utf8(batch.column("text"))):
+                k = len(sizes)
+                score = likelihoods(m, flat, sizes) - np.add.reduceat(class_log[flat], np.cumsum(sizes) - sizes)
                 # Every distinct token of every document, the end token among them.
                 tokens, times, kinds = [], [], []
-                for w in words:
-                    counted = Counter(w)
+                for text in texts:
+                    counted = Counter(text.split())
                     tokens.extend(counted), tokens.append(b"")
                     times.extend(counted.values()), times.append(1)
                     kinds.append(len(counted) + 1)
