@@ -135,7 +135,10 @@ def _one(group: pa.Table, pivot: int, threshold: float):
 def neighbours(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(src, dst, links) over distinct vectors (rep, m, e): partial counts of src and a star edge to dst."""
     n = reps.count()
-    drawn = reps.orderBy(F.xxhash64("rep"), "rep").limit(min(PIVOTS, max(1, int(2 * n**0.5)))).select("e").collect()
+    k, h = min(PIVOTS, max(1, int(2 * n**0.5))), F.xxhash64("rep")
+    # A hash thins the rows first, so that each task sends a few of them.
+    thin = reps.where(F.shiftrightunsigned(h, 11) < int(min(1.0, 4 * k / max(n, 1)) * (1 << 53)))
+    drawn = thin.orderBy(h, "rep").limit(k).select("e").collect()
     pivots = np.array([r.e for r in drawn], np.float64)
     if n < 2:
         return reps.sparkSession.createDataFrame([], "src bigint, dst bigint, links bigint")
