@@ -25,7 +25,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .shared import read, stored
 
 #: Ranges for each shard at least, bytes for a range at most, drawn rows for a range.
-RANGES, RANGE_BYTES, DRAWN = 64, 256 << 20, 24
+RANGES, RANGE_BYTES, DRAWN = 64, 1 << 30, 24
 #: Equal texts stay together while they fill at most this part of a shard.
 WHOLE = 0.1
 LEAST = -(1 << 63)
