@@ -32,7 +32,7 @@ from .windows import WINDOW, Runs, mix
 
 #: Bits of an anchor hash that the filter sees; bits of the filter at most; bytes of text in one computation; rows held in a task;
 #: different runs that make an anchor very common; windows in one radix sort.
-SEEN, FILTER, BLOCK, HELD, COMMON, SORTED = 40, 28, 100_000, 4_000_000, 50_000, 200_000
+SEEN, FILTER, BLOCK, HELD, COMMON, SORTED = 40, 28, 100_000, 4_000_000, 2_048, 200_000
 _ROW = "gram bigint, whole bigint, doc bigint, pack bigint"
 
 
