@@ -52,9 +52,10 @@ def phrase_hits(phrases: DataFrame, docs: DataFrame, tokens: str) -> DataFrame:
     df = post.join(each.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     rare = each.join(df, "token", "left").groupBy("n").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
     wanted = words.join(rare, "n").select("query_id", "code", "token", padded(F.col("words")).alias("phrase"))
-    body = docs.select("_id", "country_code", padded(F.col(tokens)).alias("body"), F.explode(F.array_distinct(tokens)).alias("token"))
-    hits = body.join(wanted, "token").where((F.col("code").isNull() | (F.col("code") == F.col("country_code"))) & F.contains("body", "phrase"))
-    return hits.select("query_id", "_id").distinct()
+    # Only ids travel with tokens; bodies come in once for each candidate.
+    met = post.join(wanted, "token").where(F.col("code").isNull() | (F.col("code") == F.col("country_code"))).select("query_id", "_id", "phrase")
+    body = docs.select("_id", padded(F.col(tokens)).alias("body"))
+    return body.join(met, "_id").where(F.contains("body", "phrase")).select("query_id", "_id").distinct()
 
 
 def city_hits(queries: DataFrame, cities: DataFrame) -> DataFrame:
