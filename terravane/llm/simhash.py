@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh64_intdigest
 
+from . import shingle_join
 from .shared import checkpointed, components, read, stored, utf8, whole_groups
 
 SEED, BITS = 42, 3
@@ -130,8 +131,8 @@ def near_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     return met.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(bits), "src bigint, dst bigint")
 
 
-def near_components(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links."""
+def print_components(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links between fingerprints."""
     prints = stored(fingerprints(docs, width), "fingerprints")
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = components(near_links(distinct, bits))
@@ -141,6 +142,11 @@ def near_components(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFr
     return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, component_id): the groups of near copies that the pipeline's stage takes, by exact similarity."""
+    return shingle_join.near_components(docs)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: its fingerprint and the smallest doc_id of its component."""
-    return near_components(read(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return print_components(read(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -41,3 +41,31 @@ def test_run(spark):
     for r in rows.collect():
         slots.setdefault(r.shard, []).append(r.slot)
     assert slots and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_near_dedup_stage_finds_every_near_copy(spark):
+    """Copies at a similarity of 0.8 to 0.9, and others just below, against brute force; fingerprints link few of them."""
+    import numpy as np
+
+    rng, texts = np.random.default_rng(5), []
+    words = [f"w{i}" for i in range(3000)]
+    for _ in range(60):
+        one = list(rng.choice(words, 300))
+        texts.append(one)
+        for changed in (3, 6, 7):
+            other = list(one)
+            for at in rng.choice(300, changed, replace=False):
+                other[at] = "changed"
+            texts.append(other)
+    texts += [["four", "words", "are", "one"], ["Four", "words", "are", "one"], [], ["a", "word"]]
+    sets = [{tuple(w.lower() for w in t[k : k + 5]) for k in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if label[a] != label[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    rows = [(i, " ".join(t), "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect())
+    assert kept == sorted(set(label))
+    assert 60 < len(kept) < 200
