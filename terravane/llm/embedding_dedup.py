@@ -1,9 +1,10 @@
 """Embedding near-dedup: int8 tile products with error bounds, exact recomputation of what is left.
 
 Vectors that are equal in every component collapse into one row with its count. Candidates meet at pivots, vectors drawn from
-the table (a bounded sample): each vector is at home with its nearest pivot and is also sent to every pivot whose cosine is
-within a margin of that, so that a vector at the threshold's distance misses the other's home with a chance of well under one
-in a hundred; recall is measured against brute force in the tests. At a pivot, homes are compared with all that came in tiles:
+the table (a bounded sample): each vector is at home with its nearest pivot. With a the angle of the threshold, a vector linked
+to a home of a pivot lies within the pivot's radius (its farthest home) plus a, and within its own home's angle plus 2 a; it is
+sent to every pivot that both bounds allow, so no pair is missed, whatever the directions are like. Of two homes the pair is
+counted at the smaller pivot, so vectors are sent to smaller ones only. At a pivot, homes are compared with all that came in tiles:
 both sides are quantised to int8, each vector with the exact norm of its own quantisation error, so every product has a
 rigorous bound; pairs that the bound rules out are dropped and only the others are recomputed in double precision. Pivots with
 many homes are split into parts, so no task grows with a dense cluster. A tile returns counts and a star for each local
@@ -22,9 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import checkpointed, components, read, stored, whole_groups
 
-THRESHOLD, SPREAD = 0.95, 2.5
+#: The slack, an angle, covers rounding.
+THRESHOLD, SLACK = 0.95, 1e-5
 #: Pivots at most, homes in one part of a pivot, rows in a tile.
 PIVOTS, PART, TILE = 4096, 4096, 1024
+#: Rows that a task sends at once.
+SENT = 8192
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,34 +58,39 @@ def _units(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _near_pivots(unit: np.ndarray, pivots: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The home of each row, and (row, pivot) for all pivots within the margin."""
-    cosine = unit.astype(np.float32) @ pivots.T
-    home = cosine.argmax(axis=1)
-    return home, *np.nonzero(cosine >= cosine[np.arange(len(unit)), home][:, None] - np.float32(margin))
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The angles to all pivots, the home of each row, and its angle."""
+    angle = np.arccos(np.clip(unit @ pivots.T, -1, 1))
+    home = angle.argmin(axis=1)
+    return angle, home, angle[np.arange(len(unit)), home]
 
 
-def _send(pivots: np.ndarray, margin: float, parts: dict[int, int]):
+def _near_pivots(unit: np.ndarray, pivots: np.ndarray, radius: np.ndarray, turn: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The home of each row, and (row, pivot) for its home and all smaller pivots that may be home to a vector within `turn`."""
+    angle, home, near = _angles(unit, pivots)
+    reach = np.minimum(near[:, None] + 2 * turn, radius[None, :] + turn) + SLACK
+    return home, *np.nonzero((angle <= reach) & (np.arange(len(pivots)) <= home[:, None]))
+
+
+def _send(pivots: np.ndarray, radius: np.ndarray, turn: float, parts: dict[int, int]):
     """Rows for each pivot, by part: homes go to one part, the others to all parts."""
 
     def scan(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rep, unit = batch.column("rep").to_numpy(), _units(batch)
-            home, row, at = _near_pivots(unit, pivots, margin)
-            n_parts = np.array([parts.get(int(p), 1) for p in at])
-            part = np.concatenate([np.arange(k) for k in n_parts]) if len(n_parts) else np.zeros(0, np.int64)
-            row, at, n_parts = np.repeat(row, n_parts), np.repeat(at, n_parts), np.repeat(n_parts, n_parts)
-            mine = (home[row] == at) & (part == rep[row] % n_parts)
-            order = np.argsort(row, kind="stable")
-            first = np.searchsorted(row[order], np.arange(batch.num_rows))
-            seen = [np.unique(at[order][i:j]).astype(np.int32).tobytes() for i, j in zip(first, np.r_[first[1:], len(row)])]
-            lists = pa.array(seen, pa.binary()).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at.astype(np.int64) << 32 | part), pa.array(rep[row]), batch.column("m").take(pa.array(row)), pa.array(mine), pa.array(home[row].astype(np.int32)), lists, batch.column("e").take(pa.array(row))],
-                names=["spot", "rep", "m", "mine", "home", "seen", "e"],
-            )
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TILE):
+                batch = whole.slice(lo, TILE)
+                rep = batch.column("rep").to_numpy()
+                home, row, at = _near_pivots(_units(batch), pivots, radius, turn)
+                n_parts = np.array([parts.get(int(p), 1) for p in at])
+                part = np.concatenate([np.arange(k) for k in n_parts])
+                row, at, n_parts = np.repeat(row, n_parts), np.repeat(at, n_parts), np.repeat(n_parts, n_parts)
+                mine = (home[row] == at) & (part == rep[row] % n_parts)
+                for k in range(0, len(row), SENT):
+                    i = slice(k, k + SENT)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(at[i].astype(np.int64) << 32 | part[i]), pa.array(rep[row[i]]), batch.column("m").take(pa.array(row[i])), pa.array(mine[i]), pa.array(home[row[i]].astype(np.int32)), batch.column("e").take(pa.array(row[i]))],
+                        names=["spot", "rep", "m", "mine", "home", "e"],
+                    )
 
     return scan
 
@@ -103,18 +112,13 @@ def _one(group: pa.Table, pivot: int, threshold: float):
     if not len(own) or len(rep) < 2:
         return
     unit = _units(group)
-    seen = group.column("seen").to_pylist()
-    top = PIVOTS + 1
-    known = np.concatenate([i * top + np.frombuffer(seen[i], np.int32) for i in own])  # (row, pivot it was sent to)
     for a in range(0, len(own), TILE):
         rows = own[a : a + TILE]
         for b in range(0, len(rep), TILE):
             i, j, _ = linked(unit[rows], unit[b : b + TILE], threshold)
             i, j = rows[i], j + b
-            same = home[j] == pivot
-            # Each pair once: of one home, where the smaller id is at home; of two, at the smaller pivot if both meet there.
-            both = np.isin(i * top + home[j], known)
-            keep = np.where(same, rep[i] < rep[j], ~both | (pivot < home[j]))
+            # Each pair once: of one home, where the smaller id is at home; of two, at the smaller pivot.
+            keep = (home[j] != pivot) | (rep[i] < rep[j])
             i, j = i[keep], j[keep]
             if not len(i):
                 continue
@@ -142,20 +146,25 @@ def neighbours(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pivots = np.array([r.e for r in drawn], np.float64)
     if n < 2:
         return reps.sparkSession.createDataFrame([], "src bigint, dst bigint, links bigint")
-    pivots = (pivots / np.linalg.norm(pivots, axis=1)[:, None]).astype(np.float32)
-    # A vector at the threshold is moved by sqrt(2 - 2 t); along the difference of two pivots that is this much, typically.
-    margin = SPREAD * (2 - 2 * threshold) ** 0.5 * (2 / pivots.shape[1]) ** 0.5
+    pivots /= np.linalg.norm(pivots, axis=1)[:, None]
+    turn = float(np.arccos(threshold))
 
     def homes(batches):
         for batch in batches:
-            if batch.num_rows:
-                at, count = np.unique(_near_pivots(_units(batch), pivots, margin)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count, pa.int64())], names=["at", "n"])
-
-    counts = reps.select("e").mapInArrow(homes, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).where(f"n > {PART}").collect()  # one row a pivot at most
+            for lo in range(0, batch.num_rows, TILE):
+                _, home, near = _angles(_units(batch.slice(lo, TILE)), pivots)
+                at, where, count = np.unique(home, return_inverse=True, return_counts=True)
+                far = np.zeros(len(at))
+                np.maximum.at(far, where, near)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count, pa.int64()), pa.array(far)], names=["at", "n", "far"])
+
+    counts = reps.select("e").mapInArrow(homes, "at bigint, n bigint, far double").groupBy("at").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()  # one row a pivot at most
     parts = {r["at"]: -(-r["n"] // PART) for r in counts}
+    radius = np.full(len(pivots), -np.inf)
+    for r in counts:
+        radius[r["at"]] = r["far"]
     kind = dict(reps.dtypes)["e"]
-    sent = reps.mapInArrow(_send(pivots, margin, parts), f"spot bigint, rep bigint, m bigint, mine boolean, home int, seen binary, e {kind}")
+    sent = reps.mapInArrow(_send(pivots, radius, turn, parts), f"spot bigint, rep bigint, m bigint, mine boolean, home int, e {kind}")
     k = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sent.repartition(k, "spot").sortWithinPartitions("spot").mapInArrow(_compare(threshold), "src bigint, dst bigint, links bigint")
 

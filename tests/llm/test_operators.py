@@ -312,6 +312,22 @@ def test_recall_at_the_threshold(spark):
     assert found >= 0.98 * 3000
 
 
+def test_no_pair_is_missed_in_few_dimensions(spark):
+    """Vectors of 768 components with 16 latent dimensions, in pairs just above the threshold."""
+    rng = np.random.default_rng(11)
+    a = rng.normal(size=(1500, 16))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    r = rng.normal(size=a.shape)
+    r -= (r * a).sum(axis=1)[:, None] * a
+    b = 0.9505 * a + (1 - 0.9505**2) ** 0.5 * r / np.linalg.norm(r, axis=1)[:, None]
+    basis = np.linalg.qr(rng.normal(size=(768, 16)))[0]
+    x = np.concatenate([a, b]) @ basis.T
+    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)]
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))
+
+
 def test_language_model(spark, sf, rows):
     tokens = [[*(t or "").encode().lower().split(), b""] for _, t, *_ in rows]
     out = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in rows]
