@@ -10,10 +10,12 @@ votes and form. A candidate that is no base span is added if its score is at lea
 nothing that is added overlaps them.
 
 The patterns are bounded (kind, form and five votes of three values: under 4,000), so models are fitted on exact sums over the
-whole corpus, and texts are scanned in place, never dealt out.
+whole corpus. Texts are scanned once, in place, never dealt out: the scan stores each document's few candidates, and both the
+sums and the final choice are made from these. The words before a candidate are the last three within `NEAR` characters.
 
-Defined cases: null text counts as empty; rows that repeat are returned each; a corpus without candidates has no model and adds
-nothing; no rows give no rows. Positions are code points, end exclusive.
+Defined cases: null text counts as empty; very long texts, also of digits, letters or signs alone, take time in proportion to
+their length; rows that repeat or tie are returned each; a corpus without candidates has no model and adds nothing; no rows give
+no rows; columns other than doc_id and text are not looked at. Positions are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -26,19 +28,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import read
+from .shared import read, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST, VOTES = 0.7, 5
-#: Forms: as the strict rule has it, or looser.
-STRICT, LOOSE = 0, 1
+#: Forms: as the strict rule has it, or looser. NEAR: characters before a candidate in which words are looked for.
+STRICT, LOOSE, NEAR = 0, 1, 30
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[] ?at ?[)\]] ?[A-Za-z0-9-]{1,63}(?: ?[(\[] ?dot ?[)\]] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){1,8}")
+_LOOSE_HOST = re.compile(r" ?[A-Za-z0-9-]+(?: ?[(\[] ?dot ?[)\]] ?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+")
 _LOOSE_PHONE = re.compile(r"(?:(?<![0-9+])\+[0-9]{1,3}[ .-]?)?(?<![0-9])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _LOOSE_CARD = re.compile(r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{3,4}(?![0-9])")
 _AT = re.compile(r"[(\[] ?at ?[)\]]")
@@ -76,16 +78,35 @@ def _emails(text: str):
         at = text.find("@", at + 1)
 
 
+def _loose_emails(text: str):
+    """Obfuscated addresses, found from each "(at)" outwards."""
+    end = 0
+    for m in _AT.finditer(text):
+        stop = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        start = stop
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if end <= start < stop and (host := _LOOSE_HOST.match(text, m.end())):
+            yield start, host.end()
+            end = host.end()
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _is_byte(part: str) -> bool:
+    """Whether digits, of any number, stand for at most 255."""
+    part = part.lstrip("0")
+    return len(part) < 4 and int(part or "0") <= 255
+
+
 def _shaped(text: str):
     """(kind, start, end, passes) for all matches of the rules' patterns."""
     for s, e in _emails(text):
         yield 0, s, e, True
     for m in _IP.finditer(text):
-        yield 1, m.start(), m.end(), all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))
+        yield 1, m.start(), m.end(), all(map(_is_byte, m.group().split(".")))
     for m in _CARD.finditer(text):
         d = _digits(m.group())
         yield 2, m.start(), m.end(), 14 <= len(d) <= 19 and luhn(d)
@@ -106,8 +127,7 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
             base.append((k, s, e))
         elif k != 2 or 13 <= len(_digits(text[s:e])) <= 19:
             more.append((k, s, e, STRICT))
-    if _AT.search(text):
-        more += [(0, m.start(), m.end(), LOOSE) for m in _LOOSE_EMAIL.finditer(text)]
+    more += [(0, s, e, LOOSE) for s, e in _loose_emails(text)]
     more += [(3, m.start(), m.end(), LOOSE) for m in _LOOSE_PHONE.finditer(text)]
     shaped = {x[1:3] for x in more}
     more += [(2, m.start(), m.end(), LOOSE) for m in _LOOSE_CARD.finditer(text) if m.span() not in shaped]
@@ -117,7 +137,7 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     for x in sorted(more, key=lambda x: x[1]):
         while i < len(taken) and taken[i][1] <= x[1]:
             i += 1
-        if not any(s < x[2] and e > x[1] for s, e in taken[i : i + 4]):
+        if i == len(taken) or taken[i][0] >= x[2]:
             free.append(x)
     return base, free
 
@@ -140,7 +160,7 @@ def votes(text: str, kind: int, start: int, end: int, form: int, passes: bool) -
     else:
         test = 1 if 10 <= len(d) <= 15 and len(set(d)) > 2 else -1
         listed = 0 if form == LOOSE else 1 if any(d[:n] in CALLING for n in (1, 2)) else -1
-    before = re.findall(r"[^\W\d_][\w-]*", text[max(0, start - 30) : start].lower())[-3:]
+    before = re.findall(r"[^\W\d_][\w-]*", text[max(0, start - NEAR) : start].lower())[-3:]
     near = 1 if CONTEXT[KINDS[kind]].intersection(before) else -1 if AGAINST.intersection(before) else 0
     left, right = text[start - 1 : start], text[end : end + 1]
     alone = -1 if left.isalnum() or right.isalnum() or left in ("+", "@", "_") else 1
@@ -215,46 +235,65 @@ def train(patterns: list[int], counts: np.ndarray, ridge: float = 1.0, rounds: i
     return w
 
 
-def fit(docs: DataFrame) -> np.ndarray | None:
-    """Weights learnt from every candidate of the corpus, or None if there is none."""
+class Choice:
+    """Which patterns of candidates are added as spans."""
+
+    def __init__(self, weights: np.ndarray | None, least: float = LEAST):
+        self.weights, self.limit, self.known = weights, float(np.log(least / (1 - least))), {}
+
+    def __call__(self, pattern: int) -> bool:
+        if pattern not in self.known:
+            self.known[pattern] = self.weights is not None and bool(features(pattern) @ self.weights >= self.limit)
+        return self.known[pattern]
 
-    def count(batches):
-        total: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    total.update(x[3] for x in coded(text)[1])
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["pattern", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
-    return train([r.pattern for r in rows], np.array([r.n for r in rows], float)) if rows else None
+def chosen(found: list[tuple], adds: Choice) -> tuple[list, list]:
+    """Of candidates (kind, start, end, pattern, whether base): the base spans, and all spans, none added overlapping another."""
+    base, added, end = [x[:3] for x in found if x[4]], [], -1
+    for k, s, e, pattern, is_base in sorted(found, key=lambda x: x[1]):
+        if not is_base and s >= end and adds(pattern):
+            added.append((k, s, e))
+            end = e
+    return base, sorted(base + added, key=lambda x: (x[1], x[0]))
 
 
 def spans(text: str, weights: np.ndarray | None, least: float = LEAST) -> tuple[list, list]:
     """The base spans, and all spans: those and what the classifier adds, none of which overlap."""
-    base, found = coded(text)
-    added, end = [], -1
-    if weights is not None:
-        limit = np.log(least / (1 - least))
-        for k, s, e, pattern, is_base in sorted(found, key=lambda x: x[1]):
-            if not is_base and s >= end and features(pattern) @ weights >= limit:
-                added.append((k, s, e))
-                end = e
-    return base, sorted(base + added, key=lambda x: (x[1], x[0]))
+    return chosen(coded(text)[1], Choice(weights, least))
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """(doc_id, found): five numbers for each candidate of a text: kind, start, end, pattern and whether it is a base span."""
+
+    def scan(batches):
+        for batch in batches:
+            found = [[int(n) for x in coded(text)[1] for n in x] if text else [] for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "found"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, found array<bigint>")
+
+
+def fit(rows: DataFrame) -> np.ndarray | None:
+    """Weights learnt from every candidate in rows (found, as from scanned), or None if there is none."""
+    at = F.sequence(F.lit(3), F.size("found") - 1, F.lit(5))
+    each = rows.where(F.size("found") > 0).select(F.explode(F.transform(at, lambda i: F.get("found", i))).alias("pattern"))
+    counted = each.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # under 4,000 rows
+    return train([r.pattern for r in counted], np.array([r.n for r in counted], float)) if counted else None
 
 
 def listed(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in found)
 
 
-def personal_data(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row; the counts are of base spans."""
+def personal_data(rows: DataFrame, weights: np.ndarray | None) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for rows (doc_id, found); the counts are of base spans."""
 
     def scan(batches):
+        adds = Choice(weights)
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
-                base, every = spans(text or "", weights)
+            for flat in batch.column("found").to_pylist():
+                base, every = chosen(list(zip(*(flat[i::5] for i in range(5)))), adds)
                 n = [0] * len(KINDS)
                 for k, _, _ in base:
                     n[k] += 1
@@ -263,19 +302,20 @@ def personal_data(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return rows.mapInArrow(scan, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
 def masked(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
     """`docs` with every span replaced by its kind in angle brackets."""
 
     def scan(batches):
+        adds = Choice(weights)
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
                 if text:
                     parts, at = [], 0
-                    for k, s, e in spans(text, weights)[1]:
+                    for k, s, e in chosen(coded(text)[1], adds)[1]:
                         if s >= at:
                             parts += [text[at:s], f"<{KINDS[k]}>"]
                         at = max(at, e)
@@ -288,5 +328,5 @@ def masked(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: counts and a hash of the base spans, and all spans."""
-    docs = read(spark, sf_dir, "documents")
-    return personal_data(docs, fit(docs))
+    rows = stored(scanned(read(spark, sf_dir, "documents")), "candidates")
+    return personal_data(rows, fit(rows))
