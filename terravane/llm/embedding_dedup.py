@@ -7,21 +7,24 @@ sent to every pivot that both bounds allow, so no pair is missed, whatever the d
 counted at the smaller pivot, so vectors are sent to smaller ones only. At a pivot, homes are compared with all that came in tiles:
 both sides are quantised to int8, each vector with the exact norm of its own quantisation error, so every product has a
 rigorous bound; pairs that the bound rules out are dropped and only the others are recomputed in double precision. Pivots with
-many homes are split into parts, so no task grows with a dense cluster. A tile returns counts and a star for each local
-component, not its pairs.
+many homes are split into parts; a task holds the homes of one part and streams past them whatever comes to the pivot, so
+memory does not grow with a dense cluster (comparisons do: they are all pairs of it). Products of int8 codes are taken in
+floating point of a width that keeps their sums exact. A tile returns counts and a star for each local component, not its pairs.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components, and vectors of another length than the most
-frequent one, link with nothing; rows with equal vec_id are compared like any others; null vec_id counts as a vector but never
-as the smallest id; no rows give no rows.
+Vectors of different lengths are never compared: each length has pivots of its own.
+
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; rows with equal
+vec_id, and equal vectors, are compared like any others; null vec_id counts as a vector but never as the smallest id; no rows
+give no rows; columns other than vec_id and embedding are not looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .shared import checkpointed, components, read, stored, whole_groups
+from .shared import checkpointed, components, read, stored
 
 #: The slack, an angle, covers rounding.
 THRESHOLD, SLACK = 0.95, 1e-5
@@ -39,25 +42,51 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return codes, scale, np.linalg.norm(back, axis=1), np.linalg.norm(unit - back, axis=1) * (1 + 1e-9) + 1e-12
 
 
-def linked(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, int]:
-    """Pairs (i, j) of unit rows with a cosine of at least `threshold`, and how many were recomputed."""
-    (qa, sa, na, ea), (qb, sb, nb, eb) = quantised(a), quantised(b)
-    kind = np.float32 if a.shape[1] * 127 * 127 < 1 << 24 else np.float64  # sums of products stay exact
-    product = (qa.astype(kind) @ qb.astype(kind).T) * sa[:, None] * sb[None, :]
-    bound = na[:, None] * eb[None, :] + ea[:, None] * nb[None, :] + ea[:, None] * eb[None, :]
+class Tile:
+    """Unit rows with their quantised form."""
+
+    def __init__(self, unit: np.ndarray):
+        self.unit, (self.codes, self.scale, self.norm, self.error) = unit, quantised(unit)
+        self.codes = self.codes.astype(np.float32 if unit.shape[1] * 127 * 127 < 1 << 24 else np.float64)  # sums of products stay exact
+
+
+def linked(a: Tile, b: Tile, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (i, j) of rows with a cosine of at least `threshold`, and how many were recomputed."""
+    product = (a.codes @ b.codes.T) * a.scale[:, None] * b.scale[None, :]
+    bound = a.norm[:, None] * b.error[None, :] + a.error[:, None] * b.norm[None, :] + a.error[:, None] * b.error[None, :]
     i, j = np.nonzero(product + bound >= threshold)
-    cosine = np.einsum("ij,ij->i", a[i], b[j])
+    cosine = np.einsum("ij,ij->i", a.unit[i], b.unit[j])
     keep = cosine >= threshold
     return i[keep], j[keep], len(i)
 
 
-def _units(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
-    column = batch.column("e")
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = column.flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
+def _units(column: pa.Array) -> np.ndarray:
+    """Unit rows from a list column of one length."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def _by_length(batch: pa.RecordBatch):
+    """(length, rows of it), at most TILE at a time."""
+    size = batch.column("d").to_numpy()
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        for lo in range(0, len(at), TILE):
+            yield int(d), batch.take(pa.array(at[lo : lo + TILE]))
+
+
+class Pivots:
+    """The pivots of each length, numbered through; `first` is the number of a length's first one."""
+
+    def __init__(self, drawn: dict[int, list], lengths: list[int]):
+        self.of, self.first, n = {}, {}, 0
+        for d in sorted(lengths):
+            x = np.array(drawn.get(d) or [np.eye(1, d)[0]], np.float64)  # any direction serves
+            self.of[d], self.first[d] = x / np.linalg.norm(x, axis=1)[:, None], n
+            n += len(x)
+        self.n = n
+
+
 def _angles(unit: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The angles to all pivots, the home of each row, and its angle."""
     angle = np.arccos(np.clip(unit @ pivots.T, -1, 1))
@@ -72,114 +101,131 @@ def _near_pivots(unit: np.ndarray, pivots: np.ndarray, radius: np.ndarray, turn:
     return home, *np.nonzero((angle <= reach) & (np.arange(len(pivots)) <= home[:, None]))
 
 
-def _send(pivots: np.ndarray, radius: np.ndarray, turn: float, parts: dict[int, int]):
+def _send(pivots: Pivots, radius: np.ndarray, turn: float, parts: dict[int, int]):
     """Rows for each pivot, by part: homes go to one part, the others to all parts."""
 
     def scan(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, TILE):
-                batch = whole.slice(lo, TILE)
-                rep = batch.column("rep").to_numpy()
-                home, row, at = _near_pivots(_units(batch), pivots, radius, turn)
+            for d, batch in _by_length(whole):
+                rep, first = batch.column("rep").to_numpy(), pivots.first[d]
+                home, row, at = _near_pivots(_units(batch.column("e")), pivots.of[d], radius[first : first + len(pivots.of[d])], turn)
+                home, at = home + first, at + first
                 n_parts = np.array([parts.get(int(p), 1) for p in at])
                 part = np.concatenate([np.arange(k) for k in n_parts])
                 row, at, n_parts = np.repeat(row, n_parts), np.repeat(at, n_parts), np.repeat(n_parts, n_parts)
-                mine = (home[row] == at) & (part == rep[row] % n_parts)
+                visits = (home[row] != at) | (part != rep[row] % n_parts)
                 for k in range(0, len(row), SENT):
                     i = slice(k, k + SENT)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(at[i].astype(np.int64) << 32 | part[i]), pa.array(rep[row[i]]), batch.column("m").take(pa.array(row[i])), pa.array(mine[i]), pa.array(home[row[i]].astype(np.int32)), batch.column("e").take(pa.array(row[i]))],
-                        names=["spot", "rep", "m", "mine", "home", "e"],
+                        [pa.array(at[i].astype(np.int64) << 32 | part[i]), pa.array(rep[row[i]]), batch.column("m").take(pa.array(row[i])), pa.array(visits[i]), pa.array(home[row[i]].astype(np.int32)), batch.column("e").take(pa.array(row[i]))],
+                        names=["spot", "rep", "m", "visits", "home", "e"],
                     )
 
     return scan
 
 
+class _Rows(Tile):
+    def __init__(self, rep, m, home, visits, unit):
+        super().__init__(unit)
+        self.rep, self.m, self.home, self.visits = rep, m, home, visits
+
+
 def _compare(threshold: float):
+    """Rows come sorted by spot, a spot's homes first, by rep: these are held, all others pass by in tiles."""
+
     def scan(batches):
-        for table in whole_groups(batches, "spot"):
-            spots = table.column("spot").to_numpy()
-            starts = np.flatnonzero(np.r_[True, spots[1:] != spots[:-1]])
-            for s, e in zip(starts, np.r_[starts[1:], len(spots)]):
-                yield from _one(table.slice(s, e - s), int(spots[s]) >> 32, threshold)
+        spot, homes = None, []
+        for batch in batches:
+            spots = batch.column("spot").to_numpy()
+            starts = np.flatnonzero(np.r_[True, spots[1:] != spots[:-1]]) if len(spots) else []
+            for s, e in zip(starts, [*starts[1:], len(spots)]):
+                if spots[s] != spot:
+                    spot, homes = spots[s], []
+                for lo in range(s, e, TILE):
+                    part = batch.slice(lo, min(TILE, e - lo))
+                    columns = [*(part.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "m", "home", "visits")), _units(part.column("e"))]
+                    mine = int((~columns[3]).sum())
+                    if mine:
+                        homes.append(_Rows(*(c[:mine] for c in columns)))
+                    if not homes:
+                        continue
+                    tile = homes[-1] if mine == len(part) else _Rows(*columns)
+                    for held in homes:
+                        yield from _pairs(held, tile, int(spot) >> 32, threshold)
 
     return scan
 
 
-def _one(group: pa.Table, pivot: int, threshold: float):
-    rep, m, mine, home = (group.column(c).to_numpy() for c in ("rep", "m", "mine", "home"))
-    own = np.flatnonzero(mine)
-    if not len(own) or len(rep) < 2:
+def _pairs(a: _Rows, b: _Rows, pivot: int, threshold: float):
+    """Counts and stars of the links between homes `a` and rows `b` that are counted here."""
+    i, j, _ = linked(a, b, threshold)
+    # Each pair once: of one home, where the smaller row is at home; of two, at the smaller pivot, where no other is sent.
+    keep = (b.home[j] != pivot) | (a.rep[i] < b.rep[j])
+    i, j = i[keep], j[keep]
+    if not len(i):
         return
-    unit = _units(group)
-    for a in range(0, len(own), TILE):
-        rows = own[a : a + TILE]
-        for b in range(0, len(rep), TILE):
-            i, j, _ = linked(unit[rows], unit[b : b + TILE], threshold)
-            i, j = rows[i], j + b
-            # Each pair once: of one home, where the smaller id is at home; of two, at the smaller pivot.
-            keep = (home[j] != pivot) | (rep[i] < rep[j])
-            i, j = i[keep], j[keep]
-            if not len(i):
-                continue
-            left, right = np.r_[rep[i], rep[j]], np.r_[m[j], m[i]]
-            who, at = np.unique(left, return_inverse=True)
-            label = np.arange(len(who))
-            x, y = at[: len(i)], at[len(i) :]
-            while True:
-                before = label.copy()
-                np.minimum.at(label, x, label[y])
-                np.minimum.at(label, y, label[x])
-                label = label[label]
-                if (label == before).all():
-                    break
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(who[label]), pa.array(np.bincount(at, weights=right).astype(np.int64))], names=["src", "dst", "links"])
+    left, right = np.r_[a.rep[i], b.rep[j]], np.r_[b.m[j], a.m[i]]
+    who, at = np.unique(left, return_inverse=True)
+    label = np.arange(len(who))
+    x, y = at[: len(i)], at[len(i) :]
+    while True:
+        before = label.copy()
+        np.minimum.at(label, x, label[y])
+        np.minimum.at(label, y, label[x])
+        label = label[label]
+        if (label == before).all():
+            break
+    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(who[label]), pa.array(np.bincount(at, weights=right).astype(np.int64))], names=["src", "dst", "links"])
 
 
 def neighbours(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(src, dst, links) over distinct vectors (rep, m, e): partial counts of src and a star edge to dst."""
-    n = reps.count()
-    k, h = min(PIVOTS, max(1, int(2 * n**0.5))), F.xxhash64("rep")
+    """(src, dst, links) over distinct vectors (rep, m, d, e): partial counts of src and a star edge to dst. d: length of e."""
+    spark, none = reps.sparkSession, "src bigint, dst bigint, links bigint"
+    counts = {r.d: r.n for r in reps.groupBy("d").agg(F.count("*").alias("n")).collect() if r.n > 1}  # one row a length
+    if not counts:
+        return spark.createDataFrame([], none)
+    reps = reps.where(F.col("d").isin(list(counts)))
+    total = sum(counts.values())
+    wanted = {d: min(max(1, PIVOTS * n // total), max(1, int(2 * n**0.5))) for d, n in counts.items()}
     # A hash thins the rows first, so that each task sends a few of them.
-    thin = reps.where(F.shiftrightunsigned(h, 11) < int(min(1.0, 4 * k / max(n, 1)) * (1 << 53)))
-    drawn = thin.orderBy(h, "rep").limit(k).select("e").collect()
-    pivots = np.array([r.e for r in drawn], np.float64)
-    if n < 2:
-        return reps.sparkSession.createDataFrame([], "src bigint, dst bigint, links bigint")
-    pivots /= np.linalg.norm(pivots, axis=1)[:, None]
-    turn = float(np.arccos(threshold))
+    h = F.shiftrightunsigned(F.xxhash64("rep"), 11)
+    limit = F.create_map(*(F.lit(x) for d, n in counts.items() for x in (d, int(min(1.0, 4 * wanted[d] / n) * (1 << 53)))))
+    order = Window.partitionBy("d").orderBy(h, "rep")
+    thin = reps.where(h < F.element_at(limit, F.col("d"))).withColumn("nth", F.row_number().over(order))
+    drawn: dict[int, list] = {}
+    for r in thin.where(F.col("nth") <= F.element_at(F.create_map(*(F.lit(x) for kv in wanted.items() for x in kv)), F.col("d"))).select("d", "e").collect():  # PIVOTS at most, and one a length
+        drawn.setdefault(r.d, []).append(r.e)
+    pivots, turn = Pivots(drawn, list(counts)), float(np.arccos(threshold))
 
     def homes(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, TILE):
-                _, home, near = _angles(_units(batch.slice(lo, TILE)), pivots)
+        for whole in batches:
+            for d, batch in _by_length(whole):
+                _, home, near = _angles(_units(batch.column("e")), pivots.of[d])
                 at, where, count = np.unique(home, return_inverse=True, return_counts=True)
                 far = np.zeros(len(at))
                 np.maximum.at(far, where, near)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count, pa.int64()), pa.array(far)], names=["at", "n", "far"])
+                yield pa.RecordBatch.from_arrays([pa.array(at + pivots.first[d], pa.int64()), pa.array(count, pa.int64()), pa.array(far)], names=["at", "n", "far"])
 
-    counts = reps.select("e").mapInArrow(homes, "at bigint, n bigint, far double").groupBy("at").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()  # one row a pivot at most
-    parts = {r["at"]: -(-r["n"] // PART) for r in counts}
-    radius = np.full(len(pivots), -np.inf)
-    for r in counts:
+    at_home = reps.select("d", "e").mapInArrow(homes, "at bigint, n bigint, far double").groupBy("at").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()  # one row a pivot at most
+    parts = {r["at"]: -(-r["n"] // PART) for r in at_home}
+    radius = np.full(pivots.n, -np.inf)
+    for r in at_home:
         radius[r["at"]] = r["far"]
     kind = dict(reps.dtypes)["e"]
-    sent = reps.mapInArrow(_send(pivots, radius, turn, parts), f"spot bigint, rep bigint, m bigint, mine boolean, home int, e {kind}")
-    k = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(k, "spot").sortWithinPartitions("spot").mapInArrow(_compare(threshold), "src bigint, dst bigint, links bigint")
+    sent = reps.mapInArrow(_send(pivots, radius, turn, parts), f"spot bigint, rep bigint, m bigint, visits boolean, home int, e {kind}")
+    k = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(k, "spot").sortWithinPartitions("spot", "visits", "rep").mapInArrow(_compare(threshold), none)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for vectors (vec_id, embedding)."""
     sound = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select("vec_id", "embedding", F.coalesce(sound, F.lit(False)).alias("sound"), F.size("embedding").alias("d"))
-    dims = rows.where("sound").groupBy("d").count().orderBy(F.desc("count"), "d").limit(1).collect()
-    rows = rows.withColumn("sound", F.col("sound") & (F.col("d") == (dims[0]["d"] if dims else 0)))
+    rows = vectors.select("vec_id", "embedding", F.coalesce(sound, F.lit(False)).alias("sound"))
     key = [F.when(F.col("sound"), F.xxhash64("embedding")).alias("k1"), F.when(F.col("sound"), F.xxhash64(F.lit(1), "embedding")).alias("k2")]
     ids = rows.select(F.coalesce("vec_id", F.lit((1 << 63) - 1)).alias("v"), "vec_id", "embedding", *key)
     groups = stored(ids.where("k1 is not null").groupBy("k1", "k2").agg(F.min("v").alias("rep"), F.count("*").alias("m"), F.first("embedding").alias("e")), "vectors")
     # A node is the hash of the vector, since ids may repeat on different vectors.
-    found = stored(neighbours(groups.select(F.col("k1").alias("rep"), "m", "e"), threshold), "vector-links")
+    found = stored(neighbours(groups.select(F.col("k1").alias("rep"), "m", F.size("e").alias("d"), "e"), threshold), "vector-links")
     roots = components(found)
     counts = found.groupBy("src").agg(F.sum("links").alias("links"))
     linked_ = groups.select("k1", "k2", "rep", "m").join(counts, F.col("k1") == F.col("src"), "left").join(roots, F.col("k1") == F.col("node"), "left")

@@ -268,25 +268,54 @@ def vectors():
     out = [(i, [float(x) for x in v], 0) for i, v in enumerate(base)]
     out += [(100 + i, [float(x) for x in base[i % 5] + rng.normal(size=16) * 0.12], 0) for i in range(40)]
     out += [(200 + i, out[3][1], 0) for i in range(6)] + [(300, [2 * x for x in out[3][1]], 0)]
-    out += [(400, None, 0), (401, [0.0] * 16, 0), (402, [float("nan")] + [1.0] * 15, 0), (403, [float("inf")] * 16, 0), (404, [None] + [1.0] * 15, 0), (405, [1.0, 2.0], 0), (406, [], 0), (200, out[3][1], 1)]
+    out += [(400, None, 0), (401, [0.0] * 16, 0), (402, [float("nan")] + [1.0] * 15, 0), (403, [float("inf")] * 16, 0), (404, [None] + [1.0] * 15, 0), (405, [1.0, 2.0], 0), (406, [], 0), (407, [1.0, 0.0, 0.0], 0), (408, [1.0, 0.0], 0), (409, [1.0, 0.01], 0), (410, [-2.0, 0.1], 0), (411, [3.0], 0), (412, [0.5], 0), (413, [-1.0], 0), (200, out[3][1], 1)]
     return out
 
 
-def test_embeddings(spark, sf):
-    rows = vectors()
-    sound = [k for k, (_, e, _) in enumerate(rows) if e and len(e) == 16 and all(x is not None and np.isfinite(x) for x in e) and any(e)]
-    x = np.array([rows[k][1] for k in sound], np.float32).astype(float)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    near = x @ x.T >= 0.95
-    label = np.array([rows[k][0] for k in sound])
+def plain_links(rows):
+    """(vec_id, n_links, component_id, kept) by brute force; vectors of one length are compared."""
+    sound = [k for k, (_, e, _) in enumerate(rows) if e and all(x is not None and np.isfinite(x) for x in e) and any(e)]
+    unit = {k: np.array(rows[k][1], np.float32).astype(float) / np.linalg.norm(np.array(rows[k][1], np.float32).astype(float)) for k in sound}
+    near = {k: [j for j in sound if len(unit[j]) == len(unit[k]) and unit[j] @ unit[k] >= 0.95] for k in sound}
+    label = {k: rows[k][0] for k in sound}
     while True:
-        new = np.array([label[n].min() for n in near])
-        if (new == label).all():
+        new = {k: min(label[j] for j in near[k]) for k in sound}
+        if new == label:
             break
         label = new
-    want = {k: (rows[k][0], int(near[j].sum()) - 1, int(label[j]), rows[k][0] == label[j]) for j, k in enumerate(sound)}
-    want = [want.get(k, (r[0], 0, r[0], True)) for k, r in enumerate(rows)]
-    assert sorted(want, key=str) == sorted_rows(embedding_dedup.op7_embedding_near_dedup(spark, sf))
+    return [(r[0], len(near[k]) - 1, label[k], r[0] == label[k]) if k in near else (r[0], 0, r[0], True) for k, r in enumerate(rows)]
+
+
+def test_embeddings(spark, sf):
+    assert sorted(plain_links(vectors()), key=str) == sorted_rows(embedding_dedup.op7_embedding_near_dedup(spark, sf))
+
+
+def test_embeddings_in_parts(spark, sf, monkeypatch):
+    """Many parts and tiles give the same; functions go to the workers with the values of this module."""
+    monkeypatch.setattr(embedding_dedup, "PART", 4)
+    got = embedding_dedup.near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    assert sorted(plain_links(vectors()), key=str) == sorted_rows(got)
+
+
+def test_tiles_and_parts_count_every_pair_once():
+    """The streamed comparison of one dense pivot, in tiles of a few rows, by parts."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=8) + rng.normal(size=(60, 8)) * 0.12
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    kept, embedding_dedup.TILE = embedding_dedup.TILE, 7
+    try:
+        total = Counter()
+        for part in range(3):
+            order = sorted(range(60), key=lambda k: (k % 3 != part, k))
+            batch = pa.RecordBatch.from_pydict({"spot": pa.array([5 << 32 | part] * 60), "rep": pa.array(order), "m": pa.array([1] * 60), "visits": pa.array([k % 3 != part for k in order]), "home": pa.array([5] * 60, pa.int32()), "e": pa.array([list(x[k]) for k in order])})
+            for out in embedding_dedup._compare(0.95)(iter([batch.slice(0, 13), batch.slice(13, 28), batch.slice(41)])):
+                for r in out.to_pylist():
+                    total[r["src"]] += r["links"]
+    finally:
+        embedding_dedup.TILE = kept
+    assert dict(total) == {k: n - 1 for k, n in enumerate(((x @ x.T) >= 0.95).sum(axis=1).tolist()) if n > 1}
 
 
 def test_quantised_bounds_hold():
@@ -294,7 +323,8 @@ def test_quantised_bounds_hold():
     a = rng.normal(size=(400, 64))
     a[200:] = a[:200] + rng.normal(size=(200, 64)) * rng.uniform(0.2, 0.45, (200, 1))
     a /= np.linalg.norm(a, axis=1)[:, None]
-    i, j, tried = embedding_dedup.linked(a, a)
+    tile = embedding_dedup.Tile(a)
+    i, j, tried = embedding_dedup.linked(tile, tile)
     assert set(zip(i, j)) == set(zip(*np.nonzero(np.einsum("ik,jk->ij", a, a) >= 0.95))) | {(k, k) for k in i if k in j and (k, k) in set(zip(i, j))}
     assert tried < 0.02 * len(a) ** 2
 
@@ -397,7 +427,8 @@ def test_personal_data(spark, sf, rows):
         base = sum(tuple(r)[1:5])
         assert len([x for x in r.spans.split(",") if x]) >= base
     masked = {r.doc_id: r.text for r in pii.masked(spark.read.parquet(f"{sf}/documents.parquet"), None).collect()}
-    assert masked[62] == "mail me: <email>, or <card> and <phone> <ip>" or "<email>" in masked[62]
+    # By the strict rules the phone number runs into the address that follows and is let go.
+    assert masked[62] == "mail me: <email>, or <card> and +1 (476) 555-6291 <ip>"
 
 
 def test_personal_data_adds_spans_and_spares_clean_text():
@@ -410,6 +441,41 @@ def test_personal_data_adds_spans_and_spares_clean_text():
     assert sum(len(pii.spans(t, w)[1]) for t in lines[600:]) == 0
 
 
+VERY_LONG = [
+    ("0" * 5000 + "1.1.1.1", [(1, 0, 5007)]), ("0" * 5000 + "256.1.1.1", []), ("7" * 3_000_000, []), ("a" * 3_000_000 + "@", []), ("x@" + "b" * 3_000_000, []), ("+1" + " " * 3_000_000, []),
+    ("a(at)" * 300_000, []), ("- " * 1_000_000, []), ("word " * 600_000 + "jo@do.org", [(0, 3_000_000, 3_000_009)]),
+]
+
+
+@pytest.mark.parametrize("text, want", VERY_LONG, ids=range(len(VERY_LONG)))
+def test_personal_data_in_very_long_texts(text, want):
+    base, every = pii.spans(text, np.zeros(len(pii.features(0))))
+    assert base == want and set(base) <= set(every)
+
+
+def test_added_spans_on_planted_data():
+    """Precision and recall of what the model adds, on spans that the strict rules let go and on look-alikes."""
+    rng, lines, truth = np.random.default_rng(13), [], []
+    for i in range(400):
+        kind = i % 4
+        number = f"{200 + i} {rng.integers(200, 999)} {rng.integers(1000, 9999)}"
+        planted = [f"joe{i} (at) mail{i % 7} (dot) org", f"({200 + i}) 555-{1000 + i}", number.replace(" ", "-"), f"anna.{i} [at] firm{i % 5}.com"][kind]
+        lead = ["write to my email ", "call my phone ", "telephone ", "mail "][kind]
+        lines.append(f"{lead}{planted} today"), truth.append((len(lead), len(lead) + len(planted)))
+        lines.append([f"reference number {10**12 + 7919 * i} is no card", f"version 1.{i}.300.4 of the tool", f"order no 555-{i}-99999", f"we met (at) noon {i}"][kind]), truth.append(None)
+        lines.append(f"mail u{i}@x{i % 9}.example.org or call +1 ({200 + i}) 555-{1000 + i}"), truth.append(())
+    counts = Counter(x[3] for t in lines for x in pii.coded(t)[1])
+    w = pii.train(list(counts), np.array(list(counts.values()), float))
+    hits = wrong = planted = 0
+    for text, want in zip(lines, truth):
+        base, every = pii.spans(text, w)
+        added = [x[1:] for x in every if x not in base]
+        planted += bool(want)
+        hits += want in added if want else 0
+        wrong += sum(x != want for x in added) if want != () else 0
+    assert hits >= 0.9 * planted and wrong <= 0.05 * planted, (hits, wrong, planted)
+
+
 def test_substrings(spark, sf, rows):
     first: dict = {}
     for i, t, *_ in rows:
