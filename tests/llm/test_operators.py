@@ -240,6 +240,55 @@ def test_mixing_hits_targets(spark):
     assert mixing.mix(docs).count() == mixing.mixed(mixing.measured(docs)).selectExpr("sum(copies)").first()[0]
 
 
+def test_mixing_is_pareto_order_sampling(spark):
+    """The same documents as a plain version; the order is not that of the draws."""
+    rng = np.random.default_rng(14)
+    docs = spark.createDataFrame([(i, "w " * int(np.exp(rng.normal(3, 1.2))) + str(i), "s%d" % (i % 4)) for i in range(1200)], "doc_id long, text string, source string")
+    rows = mixing.mixed(mixing.measured(docs)).selectExpr("source", "doc_id", "size", "source_size", "target", "copies", f"shiftrightunsigned(xxhash64(doc_id, key, {mixing.SEED}), 11) as h").collect()
+    turned = 0
+    for s in {r.source for r in rows}:
+        mine = [r for r in rows if r.source == s]
+        words, target = sum(r.size for r in mine), mine[0].target
+        sure = int(target // words)
+        left, certain = target - sure * words, set()
+        if left < 1e-9:
+            assert {r.copies for r in mine} == {sure}
+            turned += 1
+            continue
+        while True:
+            rest = [r for r in mine if r.doc_id not in certain]
+            c = (left - sum(r.size for r in mine if r.doc_id in certain)) / sum(r.size**2 for r in rest)
+            if all(c * r.size <= 1 + 1e-12 for r in rest):
+                break
+            certain.add(max(rest, key=lambda r: r.size).doc_id)
+            certain |= {r.doc_id for r in rest if c * r.size > 1}
+        u = {r.doc_id: (r.h + 0.5) / 2**53 for r in rest}
+        odds = {r.doc_id: u[r.doc_id] / (1 - u[r.doc_id]) * (1 - c * r.size) / (c * r.size) for r in rest}
+        spare, taken = left - sum(r.size for r in mine if r.doc_id in certain), set(certain)
+        for r in sorted(rest, key=lambda r: odds[r.doc_id]):
+            if spare > r.size / 2:
+                taken.add(r.doc_id)
+            spare -= r.size
+            if spare <= 0:
+                break
+        assert {r.doc_id: r.copies for r in mine} == {r.doc_id: sure + (r.doc_id in taken) for r in mine}
+        turned += [r.doc_id for r in sorted(rest, key=lambda r: u[r.doc_id])] != [r.doc_id for r in sorted(rest, key=lambda r: odds[r.doc_id])]
+        if 0.1 * words < left < 0.9 * words:
+            assert np.mean([r.size for r in rest if r.doc_id in taken]) > 1.2 * np.mean([r.size for r in rest if r.doc_id not in taken])
+    assert turned == 4
+
+
+def test_mixing_divides_ties(spark):
+    """Equal rows, with and without ids, are taken one by one where the cut falls among them."""
+    rows = [(None, "w " * 10, "a")] * 100 + [(7, "v " * 10, "b")] * 100 + [(i, "u " * 10, "c") for i in range(100)] + [(None, f"{i} " * 10, "d") for i in range(100)]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, source string, copies int")
+    got = mixing.mixed(mixing.measured(docs)).groupBy("source").agg({"target": "max", "*": "count"}).collect()
+    taken = {r.source: r.taken for r in mixing.mixed(mixing.measured(docs)).selectExpr("source", "copies * size as t").groupBy("source").agg({"t": "sum"}).withColumnRenamed("sum(t)", "taken").collect()}
+    assert all(r["count(1)"] == 100 and abs(taken[r.source] - r["max(target)"]) <= 5 for r in got)
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and {r.source: r["count"] * 10 for r in out.groupBy("source").count().collect()} == taken
+
+
 def test_sharding(spark, sf, rows):
     got = sharding.op8_sharding(spark, sf).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
