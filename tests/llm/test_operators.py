@@ -266,7 +266,7 @@ def test_mixing_is_pareto_order_sampling(spark):
         odds = {r.doc_id: u[r.doc_id] / (1 - u[r.doc_id]) * (1 - c * r.size) / (c * r.size) for r in rest}
         spare, taken = left - sum(r.size for r in mine if r.doc_id in certain), set(certain)
         for r in sorted(rest, key=lambda r: odds[r.doc_id]):
-            if spare > r.size / 2:
+            if spare >= r.size / 2:
                 taken.add(r.doc_id)
             spare -= r.size
             if spare <= 0:
