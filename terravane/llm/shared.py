@@ -51,6 +51,14 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def rereadable(frame: DataFrame) -> bool:
+    """Whether `frame` is a table as it is stored, so that every reading gives its rows in the same order."""
+    plan = frame._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.children().head()
+    return plan.nodeName() in ("LogicalRelation", "LocalRelation")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected `edges` (src, dst: bigint).
 

@@ -311,6 +311,29 @@ def test_sharding_is_even_and_keeps_groups(spark):
     assert [t for t, s in where.items() if len(s) > 1] == ["hot " * 40]
 
 
+def test_sharding_divides_equal_rows(spark):
+    """A third of all rows equal in doc_id and text, and another third equal but for doc_id, of large texts."""
+    rows = [(7, "same " * 40, n) for n in range(1500)] + [(10_000 + i, "text " * 40, i) for i in range(1500)] + [(i, f"{i} " * 30, i) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(5)
+    got = sharding.sharded(docs).selectExpr("shard", "slot", "octet_length(text) + 1 as size", "row", "doc_id").collect()
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert sorted((r.doc_id, r.row) for r in got) == sorted((i, n) for i, _, n in rows)
+    assert max(sizes.values()) < 1.03 * min(sizes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_locate_against_bisection():
+    import bisect
+
+    rng = np.random.default_rng(15)
+    splits = np.unique(rng.integers(0, 4, (40, 3)), axis=0)
+    keys = rng.integers(-1, 5, (300, 3))
+    assert sharding.locate(splits, *keys.T).tolist() == [bisect.bisect_right([tuple(x) for x in splits], tuple(k)) for k in keys]
+
+
 def vectors():
     rng = np.random.default_rng(5)
     base = rng.normal(size=(30, 16))
