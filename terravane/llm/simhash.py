@@ -142,9 +142,9 @@ def print_components(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataF
     return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, component_id): the groups of near copies that the pipeline's stage takes, by exact similarity."""
-    return shingle_join.near_components(docs)
+def keep_one(docs: DataFrame) -> DataFrame:
+    """`docs` with one row of each group of near copies, for the pipeline: groups by exact similarity, see shingle_join."""
+    return shingle_join.keep_one(docs)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
