@@ -1,21 +1,24 @@
 """Substring dedup: a depth-limited radix sort of the suffixes that can repeat.
 
 A byte goes if a WINDOW-byte string that covers it also starts in a document with a smaller doc_id. Suffixes are ordered only
-through WINDOW bytes; groups of equal ones are exactly the repeated windows. Most suffixes can be told apart without sorting
-them one by one: windows are handled in runs that share an anchor (see windows.py), equal windows having equal anchors.
+through WINDOW bytes; groups of equal ones are exactly the repeated windows.
+Anchors (see windows.py) only choose which suffixes are sorted and where they meet: equal windows have equal anchors, and windows
+that follow each other share one, as a run. What is equal is decided by most-significant-digit passes of eight bytes each, on the
+bytes themselves; what is alone in its group drops out after each pass.
 
  1. Anchor hashes are dealt out by value; those seen in two documents set bits of a filter of bounded size. A filter that fills
     up only lets more runs through; nothing depends on its misses, it has none.
- 2. Runs that pass are compared whole, by anchor: of equal runs, all but those of the smallest doc_id are covered. Copies
-    within a task are settled there, so a text in a third of all documents sends one row a task.
- 3. Anchors with several different runs are left. Their runs' windows go through most-significant-digit passes of eight bytes
-    each, on the bytes themselves; groups of one drop out after each pass, and what is equal at depth WINDOW repeats. Runs of
-    very common anchors are sent as single windows, dealt out by their whole content, instead.
+ 2. Runs that pass are sorted through all their bytes, first in each task, where copies are settled, so a text in a third of all
+    documents sends one row a task; then by anchor. Of equal runs, all but those of the smallest doc_id are covered.
+ 3. Of anchors with several different runs, each run's windows are sorted through WINDOW bytes, and those that repeat a smaller
+    document's are covered. An anchor with over WIDE different runs is too large for one task: its windows are dealt out one by
+    one, by their content, and sorted as in 2.
 
-Intervals meet their texts in one join on doc_id. Runs are equal if two hashes of 64 bits agree.
+Intervals meet their texts in one join on doc_id.
 
-Defined cases: null or empty text has no bytes; texts shorter than a window lose nothing; rows that repeat a doc_id are one
-document, and each row is returned; a row without doc_id keeps all and counts for nothing; no rows give no rows.
+Defined cases: null or empty text has no bytes; texts shorter than a window lose nothing; very long texts are sorted in blocks like
+others; rows that repeat or tie on a doc_id are one document, and each row is returned; a row without doc_id keeps all and counts
+for nothing; no rows give no rows; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -30,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .shared import read, stored, utf8, whole_groups
 from .windows import WINDOW, Runs, mix
 
-#: Bits of an anchor hash that the filter sees; bits of the filter at most; bytes of text in one computation; rows held in a task;
-#: different runs that make an anchor very common; windows in one radix sort.
-SEEN, FILTER, BLOCK, HELD, COMMON, SORTED = 40, 28, 100_000, 4_000_000, 2_048, 200_000
-_ROW = "gram bigint, whole bigint, doc bigint, pack bigint"
+#: Bits of an anchor hash that the filter sees; bits of the filter at most; bytes of text in one computation; anchors, and runs, held
+#: in a task; different runs of an anchor that are sorted together; windows in one radix sort.
+SEEN, FILTER, BLOCK, HELD, RUNS_HELD, WIDE, SORTED = 40, 28, 100_000, 4_000_000, 400_000, 2_048, 200_000
+#: Bytes of a run, padded to whole digits; the last one holds the number of windows.
+RUN_BYTES = 80
+_OUT = "kind int, gram bigint, doc bigint, pack bigint, size bigint, text binary"
 
 
 def _tag(docs: DataFrame):
@@ -164,12 +169,17 @@ def _shared_filter(texts: DataFrame) -> Filter:
     return Filter.of(stored(rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "v bigint"), "anchors"))
 
 
-# ---- 2. and 3. runs, rows (gram, whole, doc, pack); a covered interval has whole = its length
-# and travels with the runs, dealt out by its document
+# ---- 2. and 3. runs: kind 1; a covered interval, kind 0, has a size and travels with the runs, dealt out by its document
+
+
+def _rows(kind: int, gram, doc, pack, size=None, text: pa.Array | None = None) -> pa.RecordBatch:
+    n = len(doc)
+    size = pa.array(size) if size is not None else pa.nulls(n, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(gram.view(np.int64)), pa.array(doc), pa.array(pack), size, text if text is not None else pa.nulls(n, pa.binary())], names=["kind", "gram", "doc", "pack", "size", "text"])
 
 
 def _covered(doc, tag, at, size) -> pa.RecordBatch:
-    """Intervals, joined where they touch. kind 0."""
+    """Intervals, joined where they touch."""
     order = np.lexsort((at, tag, doc))
     doc, tag, at, end = doc[order], tag[order], at[order], (at + size)[order]
     if len(doc):
@@ -179,35 +189,54 @@ def _covered(doc, tag, at, size) -> pa.RecordBatch:
         first = np.flatnonzero(fresh)
         last = np.r_[first[1:], len(doc)] - 1
         doc, tag, at, end = doc[first], tag[first], at[first], reach[last]
-    return _rows(0, mix(doc.view(np.uint64) + np.uint64(1)), end - at, doc, _pack(tag, at, np.zeros(len(doc), np.int64)))
+    return _rows(0, mix(doc.view(np.uint64) + np.uint64(1)), doc, _pack(tag, at, np.zeros(len(doc), np.int64)), end - at)
 
 
-def _rows(kind, gram, whole, doc, pack, text=None) -> pa.RecordBatch:
-    n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(pack), pa.array(text, pa.binary()) if text is not None else pa.nulls(n, pa.binary())], names=["kind", "gram", "whole", "doc", "pack", "text"])
+class Sorted:
+    """Runs (gram, doc, pack, bytes) with their groups of equals: `same` names a row of the group, `least` its smallest doc."""
 
+    def __init__(self, gram: np.ndarray, doc: np.ndarray, pack: np.ndarray, wide: np.ndarray):
+        self.same = radix_classes(gram, wide)
+        least = doc.copy()
+        np.minimum.at(least, self.same, doc)
+        self.least = least[self.same]
+        follow = doc > self.least
+        tag, at, count = _unpack(pack[follow])
+        self.covered = _covered(doc[follow], tag, at, count + WINDOW - 1)
+        stay = np.flatnonzero(~follow)
+        stay = stay[np.lexsort((pack[stay], self.same[stay], gram[stay]))]
+        # A document can hold a run in several places; equal rows of it are one.
+        self.stay = stay[_first_of(self.same[stay], pack[stay])]
+        self.gram, self.doc, self.pack, self.wide = gram, doc, pack, wide
 
-_OUT = f"kind int, {_ROW}, text binary"
+    def rows(self, kind: int, at: np.ndarray | None = None) -> pa.RecordBatch:
+        at = self.stay if at is None else at
+        return _rows(kind, self.gram[at], self.doc[at], self.pack[at], None, _binary(self.wide[at]))
 
 
-def _parted(table: pa.Table) -> tuple[pa.Table, pa.RecordBatch]:
-    """The runs of a table, and its intervals."""
-    is_run = pa.compute.equal(table.column("kind"), 1)
-    done = table.filter(pa.compute.invert(is_run))
-    return table.filter(is_run), _rows(0, *(done.column(c).to_numpy() for c in ("gram", "whole", "doc", "pack")))
+def _widened(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The bytes of runs of `count` windows, as rows of RUN_BYTES."""
+    step = np.arange(RUN_BYTES)
+    wide = data[np.minimum(start[:, None] + step, max(0, len(data) - 1))] if len(start) else np.zeros((0, RUN_BYTES), np.uint8)
+    wide[step >= (count + WINDOW - 1)[:, None]] = 0
+    wide[:, -1] = count
+    return wide
 
 
-def _settle(gram, whole, doc, pack, extra=None):
-    """Of equal runs, the first document's stay; of the others, the intervals are covered. Sorted rows and the split."""
-    order = np.lexsort((pack, doc, whole, gram))
-    gram, whole, doc, pack = gram[order], whole[order], doc[order], pack[order]
-    fresh = _first_of(gram, whole)
-    group = np.cumsum(fresh) - 1
-    least = doc[np.flatnonzero(fresh)][group] if len(doc) else doc
-    follow = doc > least
-    tag, at, count = _unpack(pack[follow])
-    stays = ~follow & _first_of(gram, whole, pack)  # a document can hold a run in several places
-    return (gram[stays], whole[stays], doc[stays], pack[stays]), _covered(doc[follow], tag, at, count + WINDOW - 1), order[stays]
+def _binary(wide: np.ndarray) -> pa.Array:
+    size = wide[:, -1].astype(np.int32) + WINDOW - 1
+    flat = wide[np.arange(RUN_BYTES) < size[:, None]]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+
+
+def _runs_of(table: pa.Table | pa.RecordBatch) -> tuple:
+    """(gram, doc, pack, bytes) of rows with text."""
+    gram, doc, pack = (table.column(c).to_numpy() for c in ("gram", "doc", "pack"))
+    text = table.column("text")
+    text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
+    texts = text.to_pylist()
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return gram, doc, pack, _widened(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size - WINDOW + 1)
 
 
 def _runs(passes: Filter):
@@ -215,173 +244,173 @@ def _runs(passes: Filter):
 
     def scan(batches):
         held, n = [], 0
-
-        def flush():
-            kept, covered, _ = _settle(*(np.concatenate(x) for x in zip(*held)))
-            return [covered, _rows(1, *kept)]
-
         for ids, tags, runs in _blocks(batches):
-            ok = passes(runs.gram)
+            ok = np.flatnonzero(passes(runs.gram))
             doc = runs.doc[ok]
-            held.append((runs.gram[ok].view(np.int64), runs.whole[ok].view(np.int64), ids[doc], _pack(tags[doc], runs.at[ok], runs.count[ok])))
+            held.append((runs.gram[ok].view(np.int64), ids[doc], _pack(tags[doc], runs.at[ok], runs.count[ok]), _widened(runs.data, runs.start[ok], runs.count[ok])))
             n += len(doc)
-            if n >= HELD:
-                yield from flush()
+            if n >= RUNS_HELD:
+                found = Sorted(*(np.concatenate(x) for x in zip(*held)))
+                yield from (found.covered, found.rows(1))
                 held, n = [], 0
-        if held:
-            yield from flush()
+        if n:
+            found = Sorted(*(np.concatenate(x) for x in zip(*held)))
+            yield from (found.covered, found.rows(1))
 
     return scan
 
 
-def _meet(often: int):
-    """All runs of an anchor: copies are covered; anchors with several different runs are named (kind 2; 3 if very common)."""
+def radix_classes(group: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Most-significant-digit passes over rows of bytes within `group`: for each row, the first row that equals it.
 
-    def scan(batches):
-        for table in whole_groups(batches, "gram"):
-            table, done = _parted(table)
-            yield done
-            gram, whole, doc, pack = (table.column(c).to_numpy() for c in ("gram", "whole", "doc", "pack"))
-            (g, w, d, _), covered, _ = _settle(gram, whole, doc, pack)
-            yield covered
-            first = np.flatnonzero(_first_of(g))
-            n = np.add.reduceat(_first_of(g, w).astype(np.int64), first) if len(g) else first
-            least, most = (f.reduceat(d, first) if len(d) else d for f in (np.minimum, np.maximum))
-            for kind, pick in ((2, (n > 1) & (n <= often)), (3, n > often)):
-                v = (g[first[pick & (least < most)]].view(np.uint64) >> np.uint64(64 - SEEN)).astype(np.int64)
-                zero = np.zeros(len(v), np.int64)
-                yield _rows(kind, v, zero, zero, zero)
-
-    return scan
+    After each pass of eight bytes, rows alone in their group drop out.
+    """
+    same, left = np.arange(len(rows)), np.arange(len(rows))
+    if rows.shape[1] % 8:
+        wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+        wide[:, : rows.shape[1]] = rows
+        rows = wide
+    digits = np.ascontiguousarray(rows).view(">u8")
+    for i in range(-1, digits.shape[1]):
+        digit = digits[left, i].astype(np.uint64) if i >= 0 else np.zeros(len(left), np.uint64)
+        order = np.lexsort((digit, group)) if i >= 0 else np.argsort(group, kind="stable")
+        left, group, digit = left[order], group[order], digit[order]
+        group = np.cumsum(_first_of(group, digit)) - 1
+        several = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+        left, group = left[several], group[several]
+        if not len(left):
+            return same
+    fresh = _first_of(group)
+    same[left] = np.minimum.reduceat(left, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+    return same
 
 
-def _open_runs(open_: Filter, common: Filter):
-    """With their bytes, one of each of the runs whose anchor is left; runs of very common anchors as single windows."""
+def radix_groups(group: np.ndarray, windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each row of bytes within `group`, the least doc of its equals."""
+    same, least = radix_classes(group, windows), doc.copy()
+    np.minimum.at(least, same, doc)
+    return least[same]
+
+
+def _steps(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in the row) for rows of `count` members."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _windows(found: Sorted, at: np.ndarray) -> pa.RecordBatch:
+    """The intervals covered by single windows of the runs `at`, which stay, in order of gram and group of equals."""
+    fresh = _first_of(found.same[at])
+    one, of = at[fresh], np.cumsum(fresh) - 1  # one run of each group of equals; the group of each run
+    run, step = _steps(_unpack(found.pack[one])[2])
+    doc = found.least[one][run]
+    hit = np.flatnonzero(radix_groups(found.gram[one][run], found.wide[one[run][:, None], step[:, None] + np.arange(WINDOW)], doc) < doc)
+    hits = np.bincount(run[hit], minlength=len(one))
+    which, nth = _steps(hits[of])
+    step = step[hit][(np.cumsum(hits) - hits)[of[which]] + nth]
+    tag, place, _ = _unpack(found.pack[at[which]])
+    return _covered(found.doc[at[which]], tag, place + step, np.full(len(which), WINDOW, np.int64))
+
+
+def _settled(table: pa.Table, wide: int):
+    """Whole anchors: covered intervals, and the runs of anchors with over `wide` different ones (kind 3)."""
+    found = Sorted(*_runs_of(table))
+    yield found.covered
+    stay = found.stay
+    gram, fresh = found.gram[stay], _first_of(found.same[stay])
+    first = np.flatnonzero(_first_of(gram))
+    if not len(first):
+        return
+    different = np.add.reduceat(fresh.astype(np.int64), first)
+    docs = [f.reduceat(found.doc[stay], first) for f in (np.minimum, np.maximum)]
+    size = np.diff(np.r_[first, len(stay)])
+    kind = np.where((different < 2) | (docs[0] == docs[1]), 0, np.where(different > wide, 3, 2))
+    if (kind == 3).any():
+        yield found.rows(3, stay[np.repeat(kind == 3, size)])
+    todo = np.flatnonzero(kind == 2)
+    batch = np.cumsum(different[todo] * 16) // SORTED
+    for b in np.unique(batch):
+        pick = np.zeros(len(first), bool)
+        pick[todo[batch == b]] = True
+        yield _windows(found, stay[np.repeat(pick, size)])
+
+
+def _sort(wide: int):
+    """Runs in order of gram: those of whole anchors are settled; a large anchor's are thinned as they come, and given up as kind 3."""
 
     def scan(batches):
-        held, texts, singles, n = [], [], [], 0
-
-        def flush():
-            out = []
-            if held:
-                kept, _, at = _settle(*(np.concatenate(x) for x in zip(*held)))
-                out.append(_rows(1, *kept, [texts[i] for i in at]))
-            if singles:
-                kept, covered, _ = _settle(*(np.concatenate(x) for x in zip(*singles)))
-                out += [covered, _rows(1, *kept)]
-            return out
-
-        for ids, tags, runs in _blocks(batches):
-            often = common(runs.gram)
-            ok = np.flatnonzero(open_(runs.gram) & ~often)
-            doc, data = runs.doc[ok], runs.data
-            held.append((runs.gram[ok].view(np.int64), runs.whole[ok].view(np.int64), ids[doc], _pack(tags[doc], runs.at[ok], runs.count[ok])))
-            texts += [data[s : s + k].tobytes() for s, k in zip(runs.start[ok], runs.count[ok] + WINDOW - 1)]
-            ok = np.flatnonzero(often)
-            if len(ok):
-                row = np.repeat(ok, runs.count[ok])
-                step = np.arange(len(row)) - np.repeat(np.cumsum(runs.count[ok]) - runs.count[ok], runs.count[ok])
-                window = data[(runs.start[row] + step)[:, None] + np.arange(WINDOW)]
-                one, two = digests(window)
-                doc = runs.doc[row]
-                singles.append((one.view(np.int64), two.view(np.int64), ids[doc], _pack(tags[doc], runs.at[row] + step, np.ones(len(row), np.int64))))
-                n += len(row)
-            n += 4 * len(doc)
-            if n >= HELD:
-                yield from flush()
-                held, texts, singles, n = [], [], [], 0
-        yield from flush()
+        held, given = None, None  # the last anchor's rows so far; an anchor that is given up
+        for batch in batches:
+            is_run = pa.compute.equal(batch.column("kind"), 1)
+            yield batch.filter(pa.compute.invert(is_run))
+            table = pa.Table.from_batches([batch.filter(is_run)])
+            table = table if held is None else pa.concat_tables([held, table])
+            if not len(table):
+                continue
+            gram = table.column("gram").to_numpy()
+            if given is not None:
+                n = int(np.searchsorted(gram, given, "right"))
+                found = Sorted(*_runs_of(table.slice(0, n)))
+                yield from (found.covered, found.rows(3))
+                table, gram = table.slice(n), gram[n:]
+                if not len(table):
+                    held = None
+                    continue
+                given = None
+            cut = int(np.searchsorted(gram, gram[-1], "left"))
+            if cut:
+                yield from _settled(table.slice(0, cut), wide)
+            held = table.slice(cut)
+            if len(held) > RUNS_HELD:
+                found = Sorted(*_runs_of(held))
+                yield found.covered
+                held = pa.Table.from_batches([found.rows(1)])
+                if len(np.unique(found.same[found.stay])) > wide:
+                    yield found.rows(3)
+                    held, given = None, gram[-1]
+        if held is not None and len(held):
+            yield from _settled(held, wide)
 
     return scan
 
 
-def digests(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each row of WINDOW bytes."""
+def digest(window: np.ndarray) -> np.ndarray:
+    """A hash of each row of WINDOW bytes, by which windows are dealt out."""
     wide = np.zeros((len(window), -(-WINDOW // 8) * 8), np.uint8)
     wide[:, :WINDOW] = window
-    words = wide.view("<u8")
-    one, two = np.full(len(window), 0x51ED270B, np.uint64), np.full(len(window), 0x9E3779B9, np.uint64)
+    words, out = wide.view("<u8"), np.full(len(window), 0x51ED270B, np.uint64)
     for i in range(words.shape[1]):
-        one = mix(one * np.uint64(0x9E3779B97F4A7C15) + words[:, i])
-        two = mix((two ^ words[:, i]) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return one, two
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[:, i])
+    return out
 
 
-def radix_groups(group: np.ndarray, windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Most-significant-digit passes over rows of WINDOW bytes within `group`: for each row, the least doc of its equals.
+def _singles(batches):
+    """Each window of runs as a run of its own; a task's copies are covered at once."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, RUNS_HELD // 16):
+            _, doc, pack, wide = _runs_of(whole.slice(lo, RUNS_HELD // 16))
+            tag, at, count = _unpack(pack)
+            row, step = _steps(count)
+            window = np.zeros((len(row), RUN_BYTES), np.uint8)
+            window[:, :WINDOW] = wide[row[:, None], step[:, None] + np.arange(WINDOW)]
+            window[:, -1] = 1
+            found = Sorted(digest(window[:, :WINDOW]).view(np.int64), doc[row], _pack(tag[row], at[row] + step, np.ones(len(row), np.int64)), window)
+            yield from (found.covered, found.rows(1))
 
-    After each pass of eight bytes, rows alone in their group drop out.
-    """
-    least = doc.copy()
-    rows = np.arange(len(doc))
-    wide = np.zeros((len(windows), -(-WINDOW // 8) * 8), np.uint8)
-    wide[:, :WINDOW] = windows
-    digits = wide.view(">u8")
-    for i in range(digits.shape[1]):
-        digit = digits[rows, i].astype(np.uint64)
-        order = np.lexsort((digit, group))
-        rows, group, digit = rows[order], group[order], digit[order]
-        group = np.cumsum(_first_of(group, digit)) - 1
-        several = np.bincount(group)[group] > 1
-        rows, group = rows[several], group[several]
-        if not len(rows):
-            return least
-    first = np.flatnonzero(_first_of(group))
-    _, dense = np.unique(group, return_inverse=True)
-    least[rows] = np.minimum.reduceat(doc[rows], first)[dense]
-    return least
-
-
-def _sort_windows(batches):
-    for table in whole_groups(batches, "gram"):
-        table, done = _parted(table)
-        yield done
-        gram, whole, doc, pack = (table.column(c).to_numpy() for c in ("gram", "whole", "doc", "pack"))
-        (g, w, d, p), covered, at = _settle(gram, whole, doc, pack)
-        text = table.column("text").combine_chunks().take(pa.array(at)).to_pylist()
-        yield covered
-        first = np.flatnonzero(_first_of(g))
-        ends = np.r_[first[1:], len(g)]
-        todo, n = [], 0
-        for s, e in zip(first, ends):
-            if e - s > 1 and text[s] is not None:
-                todo.append((s, e))
-                n += (e - s) * 16
-                if n >= SORTED:
-                    yield _sorted(todo, text, d, p)
-                    todo, n = [], 0
-        if todo:
-            yield _sorted(todo, text, d, p)
-
-
-def _sorted(todo, text, d, p) -> pa.RecordBatch:
-    rows = np.concatenate([np.arange(s, e) for s, e in todo])
-    group = np.repeat(np.arange(len(todo)), [e - s for s, e in todo])
-    tag, at, count = _unpack(p[rows])
-    data = np.frombuffer(b"".join(text[i] for i in rows), np.uint8)
-    begin = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
-    run = np.repeat(np.arange(len(rows)), count)
-    step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-    doc = d[rows][run]
-    least = radix_groups(group[run], data[(begin[run] + step)[:, None] + np.arange(WINDOW)], doc)
-    hit = doc > least
-    return _covered(doc[hit], tag[run][hit], at[run][hit] + step[hit], np.full(int(hit.sum()), WINDOW, np.int64))
-
-
-def covered(docs: DataFrame, tag, common: int = COMMON) -> DataFrame:
+
+def covered(docs: DataFrame, tag, wide: int = WIDE) -> DataFrame:
     """(doc_id, tag, gone): the intervals (start, size) of bytes to remove, for documents that lose any; they may overlap."""
     spark = docs.sparkSession
     texts = _texts(docs, tag)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = _shared_filter(texts)
     dealt = lambda rows: rows.repartition(n, "gram").sortWithinPartitions("gram")
-    sent = texts.mapInArrow(_runs(_broadcast(spark, shared)), _OUT).drop("text")
-    met = stored(dealt(sent).mapInArrow(_meet(common), _OUT), "run-groups")
-    named = [Filter.of(met.where(f"kind = {k}").select(F.col("gram").alias("v"))) for k in (2, 3)]
-    left = texts.mapInArrow(_open_runs(*(_broadcast(spark, x) for x in named)), _OUT)
-    gone = met.where("kind = 0").union(dealt(left).mapInArrow(_sort_windows, _OUT))
+    sent = texts.mapInArrow(_runs(_broadcast(spark, _shared_filter(texts))), _OUT)
+    met = stored(dealt(sent).mapInArrow(_sort(wide), _OUT), "run-groups")
+    # Distinct windows are few or many, but each is one run here: no anchor of theirs is wide.
+    left = dealt(met.where("kind = 3").mapInArrow(_singles, _OUT)).mapInArrow(_sort(1 << 62), _OUT)
+    gone = met.where("kind = 0").union(left)
     tag, at = F.shiftright("pack", 40).bitwiseAND(0xFFFFFF), F.shiftright("pack", 8).bitwiseAND(0xFFFFFFFF)
-    return gone.select(F.col("doc").alias("doc_id"), tag.alias("tag"), F.struct(at.alias("start"), F.col("whole").alias("size")).alias("x")).groupBy("doc_id", "tag").agg(F.collect_list("x").alias("gone"))
+    return gone.select(F.col("doc").alias("doc_id"), tag.alias("tag"), F.struct(at.alias("start"), "size").alias("x")).groupBy("doc_id", "tag").agg(F.collect_list("x").alias("gone"))
 
 
 class _broadcast:
@@ -395,10 +424,10 @@ class _broadcast:
         return (self.data.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _joined(docs: DataFrame, common: int = COMMON) -> DataFrame:
+def _joined(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     tag = _tag(docs)
     here = docs.select("doc_id", "text", tag.alias("tag"))
-    return here.join(covered(docs, tag, common), ["doc_id", "tag"], "left").select("doc_id", "text", F.col("gone.start").alias("start"), F.col("gone.size").alias("size"))
+    return here.join(covered(docs, tag, wide), ["doc_id", "tag"], "left").select("doc_id", "text", F.col("gone.start").alias("start"), F.col("gone.size").alias("size"))
 
 
 def removed(size: int, starts, sizes) -> np.ndarray:
@@ -409,7 +438,7 @@ def removed(size: int, starts, sizes) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup_substrings(docs: DataFrame, common: int = COMMON) -> DataFrame:
+def dedup_substrings(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     """(doc_id, kept): the bytes that remain, concatenated. They need not be sound UTF-8 any more."""
 
     def scan(batches):
@@ -417,7 +446,7 @@ def dedup_substrings(docs: DataFrame, common: int = COMMON) -> DataFrame:
             out = [_kept(t, s, k)[0] for t, s, k in zip(utf8(batch.column("text")), batch.column("start").to_pylist(), batch.column("size").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "kept"])
 
-    return _joined(docs, common).mapInArrow(scan, "doc_id bigint, kept binary")
+    return _joined(docs, wide).mapInArrow(scan, "doc_id bigint, kept binary")
 
 
 def _kept(text: bytes, starts, sizes) -> tuple[bytes, int, int]:

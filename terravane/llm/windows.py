@@ -49,7 +49,7 @@ def anchor_offsets(h: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """The runs of some documents (bytes): document index, first window, number of windows, anchor hash and hash of the whole."""
+    """The runs of some documents (bytes): document index, first window, number of windows and anchor hash."""
 
     def __init__(self, texts: list[bytes]):
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -58,8 +58,8 @@ class Runs:
         ends = np.cumsum(sizes[long])
         starts = ends - sizes[long]
         if not len(long):
-            self.doc = self.at = self.count = np.zeros(0, np.int64)
-            self.gram = self.whole = np.zeros(0, np.uint64)
+            self.doc = self.at = self.count = self.start = np.zeros(0, np.int64)
+            self.gram = np.zeros(0, np.uint64)
             return
         h = gram_hashes(self.data)[: len(self.data) - 8 - GRAM + 1]
         off = anchor_offsets(h)  # one for each window, also for those that cross documents
@@ -74,10 +74,5 @@ class Runs:
         sound = first < stop[which]
         first, count, which = first[sound], count[sound], which[sound]
         self.gram = mix(h[anchor[first]] * _A)  # anchors are least values; mixed again they are even
-        end = first + count + WINDOW - 1 - GRAM
-        size = (count + (anchor[first] - first) * 64).astype(np.uint64)
-        whole = mix(h[first] * _B + size)
-        for p in (first + GRAM, np.minimum(first + 2 * GRAM, end), end):
-            whole = mix(whole * _C + h[p])
-        self.whole, self.count = whole, count
+        self.count = count
         self.doc, self.at, self.start = long[which], first - starts[which], first

@@ -566,10 +566,39 @@ def test_substrings(spark, sf, rows):
         want.append((i, len(b), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0, hashlib.sha256(kept).hexdigest()))
     assert sorted(want, key=str) == sorted_rows(substring_dedup.op10_substring_dedup(spark, sf))
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = sorted((r.doc_id, hashlib.sha256(r.kept).hexdigest()) for r in substring_dedup.dedup_substrings(docs, common=1).where("doc_id is not null").collect())
+    kept = sorted((r.doc_id, hashlib.sha256(r.kept).hexdigest()) for r in substring_dedup.dedup_substrings(docs, wide=1).where("doc_id is not null").collect())
     assert kept == sorted((w[0], w[4]) for w in want if w[0] is not None)
 
 
+def test_large_anchors_are_thinned_and_given_up(monkeypatch):
+    """One anchor with more rows than a task holds, in batches: what is covered is that of all windows."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(16)
+    gram = b"the anchor in the middle"
+    texts = [bytes(rng.integers(97, 99, 4, dtype=np.uint8)) * 6 + gram + bytes(rng.integers(97, 99, 4, dtype=np.uint8)) * 6 for _ in range(300)]
+    wide = substring_dedup._widened(np.frombuffer(b"".join(texts), np.uint8), np.arange(300) * 72, np.full(300, 23))
+    rows = substring_dedup._rows(1, np.full(300, 5), np.arange(300), substring_dedup._pack(np.zeros(300, np.int64), np.zeros(300, np.int64), np.full(300, 23)), None, substring_dedup._binary(wide))
+    first = {}
+    for d, t in enumerate(texts):
+        for p in range(23):
+            first.setdefault(t[p : p + 50], d)
+    want = {(d, p + k) for d, t in enumerate(texts) for p in range(23) if first[t[p : p + 50]] < d for k in range(50)}
+    for held, limit in ((10**6, 10**6), (40, 10**6), (10**6, 10), (40, 10)):
+        monkeypatch.setattr(substring_dedup, "RUNS_HELD", held)
+        out = list(substring_dedup._sort(limit)(iter([rows.slice(k, 70) for k in range(0, 300, 70)])))
+        again = list(substring_dedup._singles(iter([b.filter(pa.compute.equal(b.column("kind"), 3)) for b in out])))
+        runs = pa.Table.from_batches([b.filter(pa.compute.equal(b.column("kind"), 1)) for b in again]).sort_by("gram") if again else None
+        out += again + (list(substring_dedup._sort(1 << 62)(iter(runs.to_batches(50)))) if runs is not None else [])
+        got = set()
+        for b in out:
+            for r in b.to_pylist():
+                if r["kind"] == 0:
+                    at = r["pack"] >> 8 & 0xFFFFFFFF
+                    got |= {(r["doc"], k) for k in range(at, at + r["size"])}
+        assert got == want, (held, limit)
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(9)
     part = bytes(rng.integers(97, 101, 300, dtype=np.uint8))
