@@ -12,10 +12,12 @@ partition, and adds them up. The likelihood of a text is exact: texts are cut in
 and the pieces' K x K products, scaled, are chained.
 
 Counts need no broadcast of the vocabulary: at most `HEAD` tokens can have a share of 1 / HEAD of all tokens, and only these
-are broadcast; all others are dealt out by token and joined with their counts, and none of them can be a hot key.
+are broadcast; all others are dealt out by token and joined with their counts, and none of them can be a hot key. Long words are
+known by a digest everywhere, so they are common or not like others.
 
-Defined cases: null, empty and blank texts are the end token alone; rows that repeat are scored each, and all count in
-training; a null doc_id is in training and not held out; without training rows every count is 0; no rows give no rows.
+Defined cases: null, empty and blank texts are the end token alone; very long texts and words are scored whole; rows that repeat or
+tie are scored each, and all count in training; a null doc_id is in training and not held out; without training rows every count
+is 0; no rows give no rows; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ from .shared import read, stored, utf8
 FOLD, FOLDS = 1, 5
 #: States, classes, bytes that decide a class; tokens of a piece, and of a document that is not cut.
 STATES, CLASSES, SUFFIX, PIECE, SHORT = 8, 4096, 4, 64, 768
-#: Full passes; documents, bytes of one and rounds for the start; the share that makes a token common.
-PASSES, START_DOCS, START_BYTES, START_ROUNDS, HEAD = 2, 400, 64_000, 12, 1 << 20
+#: Full passes; documents, characters of one (a piece drawn from it, if it is longer) and rounds for the start; the share that makes
+#: a token common.
+PASSES, START_DOCS, START_CHARS, START_ROUNDS, HEAD = 2, 400, 64_000, 12, 1 << 20
 #: Bytes of text in one computation, and distinct tokens that a task counts before it passes them on.
 BLOCK, COUNTED = 2_500_000, 500_000
 END = CLASSES - 1
@@ -241,8 +244,8 @@ def blocks(texts):
 
 
 def key(word: bytes) -> bytes:
-    """What stands for a word in tables: itself, or a digest if it is long. The end token is the empty key."""
-    return word if len(word) <= 32 else b"\0" + xxhash.xxh3_128_digest(word)
+    """What stands for a word in tables: itself, or a digest if it is long (or looks like a digest). The end token is the empty key."""
+    return word if len(word) <= 32 and word[:1] != b"\0" else b"\0" + xxhash.xxh3_128_digest(word)
 
 
 def held_out():
@@ -276,8 +279,10 @@ def train(docs: DataFrame, passes: int = PASSES) -> Hmm:
     """Baum-Welch over all of `docs`, from a start on a bounded sample."""
     # A hash thins the rows first, so that each task sends a few of them.
     h, n = F.xxhash64("doc_id", F.lit(3)), docs.count()
-    thin = docs.where(F.octet_length("text") <= START_BYTES).where(F.shiftrightunsigned(h, 11) < int(min(1.0, 4 * START_DOCS / max(n, 1)) * (1 << 53)))
-    texts = [r.text.encode() for r in thin.orderBy(h, "doc_id").limit(START_DOCS).select("text").collect()]
+    thin = docs.where(F.shiftrightunsigned(h, 11) < int(min(1.0, 4 * START_DOCS / max(n, 1)) * (1 << 53)))
+    begin = 1 + F.pmod(F.xxhash64("doc_id", F.lit(4)), F.greatest(F.lit(1), F.length("text") - START_CHARS + 1)).cast("int")
+    piece = F.substr(F.coalesce("text", F.lit("")), F.coalesce(begin, F.lit(1)), F.lit(START_CHARS))
+    texts = [r.text.encode() for r in thin.orderBy(h, "doc_id").limit(START_DOCS).select(piece.alias("text")).collect()]
     m = Hmm.first()
     for _ in range(START_ROUNDS if texts else 0):
         m = Hmm.of(sum(expected(m, flat, sizes) for _, _, flat, sizes in blocks(texts)))
@@ -324,7 +329,7 @@ def _score(m: Hmm, common: dict[bytes, float], class_log: np.ndarray):
                 tokens, times, kinds = [], [], []
                 for text in texts:
                     counted = Counter(text.split())
-                    tokens.extend(counted), tokens.append(b"")
+                    tokens.extend(map(key, counted)), tokens.append(b"")
                     times.extend(counted.values()), times.append(1)
                     kinds.append(len(counted) + 1)
                 value = np.array(list(map(common.get, tokens)), np.float64)  # NaN for those that are not common
@@ -338,7 +343,7 @@ def _score(m: Hmm, common: dict[bytes, float], class_log: np.ndarray):
                 )
                 rest = np.flatnonzero(~is_common)
                 n, none, no_score = len(rest), pa.nulls(len(rest), pa.int64()), pa.nulls(len(rest), pa.float64())
-                toks = pa.array([key(tokens[i]) for i in rest.tolist()], pa.binary())
+                toks = pa.array([tokens[i] for i in rest.tolist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(row + of[rest]), none, none, none, no_score, no_score, toks, pa.array(times[rest])], names=names)
                 row += k
 
@@ -352,11 +357,9 @@ def scores(docs: DataFrame) -> DataFrame:
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     m, class_log = train(training), class_totals(counts)
     often = F.col("c") * HEAD >= total
-    # At most HEAD tokens; digests of long words cannot be told from their keys and stay with the others.
-    is_word = (F.octet_length("tok") == 0) | (F.hex(F.substring("tok", 1, 1)) != "00")
-    common = {bytes(r.tok): float(np.log10(r.c + 0.5)) for r in counts.where(often & is_word).select("tok", "c").collect()}
+    common = {bytes(r.tok): float(np.log10(r.c + 0.5)) for r in counts.where(often).select("tok", "c").collect()}  # at most HEAD
     rows = stored(docs.select("doc_id", "text").mapInArrow(_score(m, common, class_log), _ROWS), "token-rows")
-    rest = counts.where(~(often & is_word)).select("tok", "c")
+    rest = counts.where(~often).select("tok", "c")
     found = rows.where("kind = 1").select("tok", "row", "times").join(rest, "tok", "left")
     more = found.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"))
     joined = rows.where("kind = 0").select("row", "doc_id", "n_tokens", "n_known", "known_score", "score").join(more, "row", "left")

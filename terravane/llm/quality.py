@@ -11,7 +11,8 @@ never inputs.
 
 Defined cases: null text counts as empty, and empty texts get a score like any other; labels that are null, or of documents
 that are missing, are ignored; a document with several labels counts with their rounded mean; a class without training rows
-makes every score the prior, 0.5 if there is no label at all; rows that repeat are returned each; no rows give no rows.
+makes every score the prior, 0.5 if there is no label at all; very long texts count whole; rows that repeat or tie are returned
+each; no rows give no rows; columns other than doc_id and text are carried by keep_good and not looked at.
 """
 
 from __future__ import annotations

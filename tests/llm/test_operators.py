@@ -441,19 +441,54 @@ def test_language_model(spark, sf, rows):
     assert all(r.score < 0 for r in got)
 
 
+def plain_forward(m, d):
+    """log10 of the probability of a class sequence."""
+    a, log = m.start * m.emit[d[0]], 0.0
+    for o in d[1:]:
+        log += np.log10(a.sum())
+        a = (a / a.sum() @ m.move) * m.emit[o]
+    return log + np.log10(a.sum())
+
+
+def test_language_model_score(spark, sf, rows):
+    """The score from the trained parameters, token by token."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = hmm.train(docs.where(~hmm.held_out()))
+    tokens = [[*(t or "").encode().lower().split(), b""] for _, t, *_ in rows]
+    known = Counter(w for (i, *_), t in zip(rows, tokens) if not (i is not None and zlib.crc32(str(i).encode()) % 5 == 1) for w in t)
+    group = lambda w: int(hmm.classes([w], False)[0][0]) if w else hmm.END
+    n, v = Counter(), Counter()
+    for w, c in known.items():
+        n[group(w)] += c
+        v[group(w)] += 1
+    want = sorted((round(plain_forward(m, [group(w) for w in t]) + sum(np.log10((known[w] + 0.5) / (n[group(w)] + 0.5 * (v[group(w)] + 1))) for w in t), 2) for t in tokens))
+    got = sorted(r.score for r in hmm.scores(docs).select("score").collect())
+    assert np.allclose(got, want, rtol=1e-3, atol=0.02)
+
+
+def test_language_model_gains_on_held_out_text(spark):
+    got = hmm.op6_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score - base_score) / sum(n_tokens) as gain").first()
+    assert got.gain > 0.3
+
+
+def test_long_words_are_common_like_others(spark):
+    rule, text = "-" * 40, "=" * 70
+    docs = spark.createDataFrame([(i, f"a b{i} {rule} {text if i % 2 else ''} \0x" + "long " * 20_000 * (i == 3)) for i in range(30)], "doc_id long, text string")
+    got = {r.doc_id: r for r in hmm.scores(docs).collect()}
+    tokens = {r.doc_id: [*r.text.encode().lower().split(), b""] for r in docs.collect()}
+    c = Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in t)
+    n, v = sum(c.values()), len(c)
+    for i, t in tokens.items():
+        assert got[i].n_known == sum(c[w] > 0 for w in t)
+        assert np.isclose(got[i].base_score, sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rtol=1e-9)
+
+
 def test_forward_recursion_is_exact():
     rng = np.random.default_rng(8)
     m = hmm.Hmm.first(3)
     docs = [list(rng.integers(0, hmm.CLASSES, k)) for k in (1, 2, 63, 64, 65, 300, hmm.SHORT, hmm.SHORT + 1, 3000)]
 
-    def plain(d):
-        a, log = m.start * m.emit[d[0]], 0.0
-        for o in d[1:]:
-            log += np.log10(a.sum())
-            a = (a / a.sum() @ m.move) * m.emit[o]
-        return log + np.log10(a.sum())
-
-    want = [plain(d) for d in docs]
+    want = [plain_forward(m, d) for d in docs]
     pack = lambda some: (np.concatenate(some).astype(np.int32), np.array(list(map(len, some))))
     assert np.allclose(hmm.likelihoods(m, *pack(docs)), want) and np.allclose(hmm.likelihoods(m, *pack(docs[:7])), want[:7])
     whole, cut = hmm.expected(m, *pack(docs[:7])), hmm.expected(m, *pack(docs[:7] + docs[8:])) - hmm.expected(m, *pack(docs[8:]))
@@ -635,3 +670,26 @@ def test_quality_on_held_out_rows(spark):
     right = sum(r.predicted == truth[r.doc_id] for r in got) / len(got)
     good = [r for r in got if truth[r.doc_id] == 1]
     assert right >= 0.95 and sum(r.predicted for r in good) / len(good) >= 0.97
+
+
+def test_quality_scores_against_a_plain_discriminant(spark):
+    """Means, shrunk covariances and densities from the statistics of single texts, without factors or distributed sums."""
+    at = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    x = {i: quality.statistics((t or "").encode()) for i, t in docs.items()}
+    part = {c: np.array([x[i] for i, y in labels.items() if i in x and y == c and zlib.crc32(str(i).encode()) % 3 != 1]) for c in (0, 1)}
+    n, d = {c: len(p) for c, p in part.items()}, quality.WIDTH
+    cov = {c: np.cov(p.T, bias=True) for c, p in part.items()}
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    scale = np.sqrt(np.maximum(np.diag(pooled) + 0.25 * (part[1].mean(axis=0) - part[0].mean(axis=0)) ** 2, 1e-9))
+
+    def log_density(c, v):
+        s = ((1 - quality.POOLED) * cov[c] + quality.POOLED * pooled) / np.outer(scale, scale)
+        s = (1 - quality.IDENTITY) * s + quality.IDENTITY * np.trace(s) / d * np.eye(d)
+        z = (v - part[c].mean(axis=0)) / scale
+        return -0.5 * z @ np.linalg.solve(s, z) - 0.5 * np.linalg.slogdet(s)[1] + np.log(n[c] / (n[0] + n[1]))
+
+    got = {r.doc_id: r.score for r in quality.op2_quality_classifier(spark, at).collect()}
+    want = {i: 1 / (1 + np.exp(-np.clip(log_density(1, v) - log_density(0, v), -500, 500))) for i, v in x.items()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
