@@ -3,11 +3,14 @@
 Words are `[0-9a-z]` or any character beyond ASCII, after A-Z became lower case. A benchmark item's windows are its runs of 10
 words; an item with fewer words is one window. Documents are scanned once: every window's hash is looked up in a broadcast
 hash table of the distinct benchmark windows, and hits are verified on the words themselves. The table is broadcast only
-while its size is within `BROADCAST_WINDOWS`; beyond, the same join is dealt out by hash. Only hits and one row a document
-leave the scan. Only DataFrame operations are used.
-
-Defined cases: null, empty or wordless texts have no words and no windows; an item without words is ignored; items that repeat
-hit alike and count by distinct item_id; rows that repeat a doc_id are returned each; no benchmark leaves all clean.
+while its size is within `BROADCAST_WINDOWS`; beyond, places and hashes of windows are dealt out by hash, without their words, and
+the words of documents with a hit are fetched to verify it. Only hits and one row a document leave the scan. Only DataFrame
+operations are used.
+
+Defined cases: null, empty or wordless texts have no words and no windows; very long texts are scanned whole; an item without words
+is ignored; items that repeat hit alike and count by distinct item_id; rows that repeat or tie on a doc_id are returned each, by
+their own text; no benchmark leaves all clean; no rows give no rows; columns other than doc_id (item_id) and text are carried by
+clean and not looked at.
 """
 
 from __future__ import annotations
@@ -37,16 +40,8 @@ def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
     return w.select("item_id", n.alias("n"), "w", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("at")).select("item_id", "n", F.slice("w", F.col("at"), F.col("n")).alias("gram")).distinct()
 
 
-def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(row, doc_id, n_words, start, n, gram_id): one row for each window that occurs, and one with null start a document."""
-    pairs = checkpointed(item_windows(items, width).withColumn("gram_id", F.xxhash64("gram", F.lit(1))).select("item_id", "n", "gram", "gram_id"))
-    grams = pairs.select("n", "gram", "gram_id", F.xxhash64("gram").alias("key")).distinct()
-    if grams.count() <= BROADCAST_WINDOWS:
-        grams = F.broadcast(grams)
-    lengths = sorted(r[0] for r in pairs.select("n").distinct().collect()) or [width]  # at most `width` of them
-    w = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), _split("text").alias("w"))
-    n_words = F.size("w") - F.when(F.element_at("w", -1) == "", 1).otherwise(0)
-    w = w.select("doc_id", "text_key", n_words.alias("n_words"), "w")
+def _met(w: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, text_key, n_words, start, n, gram_id) by a broadcast table: a row a hit, and one with null start a document."""
     at = w.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n_words") - lengths[0] + 1))).alias("start"))
     if len(lengths) > 1:
         at = at.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("len"))
@@ -56,18 +51,47 @@ def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     fits = (F.col("start") > 0) & (F.col("start") + F.col("len") - 1 <= F.col("n_words"))
     at = at.where(fits | ((F.col("start") == 0) & (F.col("len") == lengths[0])))
     at = at.withColumn("hash", F.when(fits, F.xxhash64(F.slice("w", F.greatest(F.lit(1), F.col("start")), F.col("len")))))
-    met = at.join(grams, (F.col("hash") == F.col("key")) & (F.col("len") == F.col("n")), "left")
+    met = at.join(F.broadcast(grams), (F.col("hash") == F.col("key")) & (F.col("len") == F.col("n")), "left")
     met = met.where((F.col("start") == 0) | F.col("key").isNotNull())
     met = met.where((F.col("start") == 0) | (F.slice("w", F.greatest(F.lit(1), F.col("start")), F.col("len")) == F.col("gram")))
-    return met.select("doc_id", "text_key", "n_words", F.when(F.col("start") > 0, F.col("start")).alias("start"), F.when(F.col("start") > 0, F.col("n")).alias("n"), "gram_id"), pairs
+    return met.select("doc_id", "text_key", "n_words", F.when(F.col("start") > 0, F.col("start")).alias("start"), F.when(F.col("start") > 0, F.col("n")).alias("n"), "gram_id")
+
+
+def _met_dealt(w: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """As _met, by shuffles: windows travel as places and hashes, words only for documents with a hit."""
+
+    def places(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n_words") - n + 1))
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("len"), F.xxhash64(F.slice("w", i, n)).alias("hash")))
+
+    at = w.select("doc_id", "text_key", "n_words", F.inline(F.flatten(F.array(*map(places, lengths))))).where(F.col("start") + F.col("len") - 1 <= F.col("n_words"))
+    near = at.join(grams, (F.col("hash") == F.col("key")) & (F.col("len") == F.col("n"))).select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "start", "n", "gram", "gram_id")
+    near = checkpointed(near.distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))
+    held = w.join(near.select("d", "t").distinct(), same, "left_semi").dropDuplicates(["doc_id", "text_key"])
+    met = held.join(near, same).where(F.slice("w", F.col("start"), F.col("n")) == F.col("gram")).select("doc_id", "text_key", "n_words", "start", "n", "gram_id")
+    each = w.select("doc_id", "text_key", "n_words", *(F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("n", "int"), ("gram_id", "bigint"))))
+    return met.union(each)
+
+
+def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, broadcast_windows: int = BROADCAST_WINDOWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n_words, start, n, gram_id): one row for each window that occurs, and one with null start a document;
+    and (item_id, gram_id) of the windows."""
+    pairs = checkpointed(item_windows(items, width).withColumn("gram_id", F.xxhash64("gram", F.lit(1))).select("item_id", "n", "gram", "gram_id"))
+    grams = pairs.select("n", "gram", "gram_id", F.xxhash64("gram").alias("key")).distinct()
+    lengths = sorted(r[0] for r in pairs.select("n").distinct().collect()) or [width]  # at most `width` of them
+    w = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), _split("text").alias("w"))
+    n_words = F.size("w") - F.when(F.element_at("w", -1) == "", 1).otherwise(0)
+    w = w.select("doc_id", "text_key", n_words.alias("n_words"), "w")
+    return (_met if grams.count() <= broadcast_windows else _met_dealt)(w, grams, lengths), pairs
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, **limits) -> DataFrame:
     """(doc_id, text_key, rows, n_words, n_hit, items, spans): spans are the runs of hit words, first to last, from 1.
 
     One row for each distinct doc_id and text; rows says how many it stands for.
     """
-    found, pairs = hits(docs, items, width)
+    found, pairs = hits(docs, items, width, **limits)
     found = checkpointed(found)
     base = found.where("start is null").groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"), F.first("n_words").alias("n_words"))
     met = found.where("start is not null").select("doc_id", "text_key", "start", (F.col("start") + F.col("n") - 1).alias("stop"), "gram_id").distinct()
