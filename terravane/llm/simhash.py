@@ -12,8 +12,9 @@ all that came, exactly, over all 64 bits. There are 2^27 anchors, so the cost fo
 Only distinct fingerprints take part: copies collapse into one row before anything is replicated. An anchor returns a star
 for each local component, not its pairs; components of the stars are found by rounds of distributed label passing.
 
-Defined cases: no words (null, empty, blank text) give the fingerprint zero, linked like any other; rows that repeat are
-returned each; a null doc_id is no candidate for the component's smallest id; no rows give no rows.
+Defined cases: no words (null, empty, blank text) give the fingerprint zero, linked like any other; very long texts count whole;
+rows that repeat, or tie on a doc_id, are returned each; a null doc_id is no candidate for the component's smallest id; no rows
+give no rows; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -83,24 +84,34 @@ def _replicate(batches):
         yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(fp[at].view(np.int64)), pa.array(home)], names=["anchor", "fp", "home"])
 
 
-def stars(fp: np.ndarray, home: np.ndarray, bits: int = BITS, tile: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what is linked through the homes of one anchor: each member to the first of its component."""
-    order = np.argsort(~home, kind="stable")
-    fp, m, n = fp[order], int(home.sum()), len(fp)
+def _least_labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest member of each member's component."""
     label = np.arange(n)
     while True:
         before = label.copy()
-        for i in range(0, m, tile):
-            for j in range(0, n, tile):
-                near = np.bitwise_count(fp[i : min(i + tile, m), None] ^ fp[None, j : j + tile]) <= bits
-                least = np.where(near, label[None, j : j + tile], n).min(axis=1, initial=n)
-                rows = slice(i, min(i + tile, m))
-                label[rows] = np.minimum(label[rows], least)
-                cols = np.where(near, label[rows, None], n).min(axis=0, initial=n)
-                label[j : j + tile] = np.minimum(label[j : j + tile], cols)
+        np.minimum.at(label, x, label[y])
+        np.minimum.at(label, y, label[x])
         label = label[label]
         if (label == before).all():
-            break
+            return label
+
+
+def stars(fp: np.ndarray, home: np.ndarray, bits: int = BITS, tile: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what is linked through the homes of one anchor: each member to the first of its component.
+
+    Every tile is compared once and leaves a star for each of its components; these are joined at the end.
+    """
+    order = np.argsort(~home, kind="stable")
+    fp, m, n = fp[order], int(home.sum()), len(fp)
+    left, right = [], []
+    for i in range(0, m, tile):
+        for j in range(0, n, tile):
+            x, y = np.nonzero(np.bitwise_count(fp[i : min(i + tile, m), None] ^ fp[None, j : j + tile]) <= bits)
+            who, at = np.unique(np.r_[x + i, y + j], return_inverse=True)
+            label = _least_labels(len(who), at[: len(x)], at[len(x) :])
+            moved = np.flatnonzero(label != np.arange(len(who)))
+            left.append(who[moved]), right.append(who[label[moved]])
+    label = _least_labels(n, *(np.concatenate([*x, np.zeros(0, np.int64)]) for x in (left, right)))
     moved = np.flatnonzero(label != np.arange(n))
     return fp[moved], fp[label[moved]]
 
