@@ -5,11 +5,13 @@ points that occur in at least `min_docs` documents lose all their lines except t
 
 Plan: every long line becomes (hash, doc_id, position), written once to the shared folder. The table is range-partitioned
 on hash, doc_id and position together, so that a line in a third of all documents is spread over many ranges, and sorted
-with the largest doc_id first. Each task streams its range: the first document of a group keeps its lines, the rest lose
-them if the group has enough documents. Groups that cross a border between ranges are settled from two summaries a range.
+with the largest doc_id first. Each task streams its range batch by batch: the first document of a group keeps its lines, the rest
+lose them once the group has enough documents; only lines of a group that has too few so far are held. Groups that cross a
+border between ranges are settled from two summaries a range. The number of ranges follows the number of lines.
 
-Defined cases: null or empty text is one empty line; a row without doc_id counts for nothing and keeps its lines; rows that
-repeat a doc_id are one document for the count, and each row is returned; no rows give no rows.
+Defined cases: null or empty text is one empty line; very long texts and lines are split and hashed whole; a row without doc_id
+counts for nothing and keeps its lines; rows that repeat or tie on a doc_id are one document for the count, and each row is
+returned; no rows give no rows; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import read, shared_dir, stored, utf8
 
+#: Long lines in one range.
+RANGE_LINES = 4_000_000
 BLANK = b" \t\n\x0b\x0c\r"
 _LINES = "h1 bigint, h2 bigint, doc_id bigint, text_key bigint, pos int"
 
@@ -56,38 +60,65 @@ def _lines(min_chars: int):
 _SEEN = "what int, h1 bigint, h2 bigint, doc_id bigint, text_key bigint, pos int, part int, last_doc bigint, docs bigint"
 
 
+_NAMES = [x.split()[0] for x in _SEEN.split(", ")]
+
+
 def _stream(min_docs: int):
+    """Lines in order of hash, doc_id downwards and position; the first and last group of a range may cross its borders."""
+
     def scan(batches):
-        parts = [x for x in batches if x.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        h1, h2, doc, key, pos = (table.column(c).to_numpy() for c in ("h1", "h2", "doc_id", "text_key", "pos"))
         part = TaskContext.get().partitionId()
-        n = len(h1)
-        group_starts = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-        doc_starts = group_starts | np.r_[True, doc[1:] != doc[:-1]]
-        group = np.cumsum(group_starts) - 1
-        docs = np.bincount(group, weights=doc_starts).astype(np.int64)
-        firsts = np.flatnonzero(group_starts)
-        ends = np.r_[firsts[1:], n] - 1
-        border = np.zeros(len(docs), bool)
-        border[[0, -1]] = True
-        later = doc != doc[firsts][group]
-        dropped = np.flatnonzero((docs[group] >= min_docs) & later & ~border[group])
-        open_ = np.flatnonzero(border[group])
-
-        def rows(what, at, last, count):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), what, np.int32)), *(pa.array(x[at]) for x in (h1, h2, doc, key, pos)), pa.array(np.full(len(at), part, np.int32)), pa.array(last), pa.array(count)],
-                names=["what", "h1", "h2", "doc_id", "text_key", "pos", "part", "last_doc", "docs"],
-            )
-
-        none = lambda at: np.zeros(len(at), np.int64)
-        yield rows(0, dropped, none(dropped), none(dropped))
-        yield rows(1, open_, none(open_), none(open_))
-        which = np.unique([0, len(docs) - 1])
-        yield rows(2, firsts[which], doc[ends[which]], docs[which])
+
+        def rows(what, columns, last=None, docs=None):
+            n = len(columns[0])
+            zero = np.zeros(n, np.int64)
+            values = [np.full(n, what, np.int32), *columns, np.full(n, part, np.int32), zero if last is None else last, zero if docs is None else docs]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=_NAMES)
+
+        def summary(g):
+            one = lambda v, t=np.int64: np.array([v], t)
+            return rows(2, [one(g["key"][0]), one(g["key"][1]), one(g["top"]), one(0), one(0, np.int32)], one(g["last"]), one(g["docs"]))
+
+        # The open group: its largest doc_id, documents so far, the last one, whether the range begins with it, lines held.
+        g = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in ("h1", "h2", "doc_id", "text_key", "pos")]
+            h1, h2, doc = columns[:3]
+            fresh = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+            first = np.flatnonzero(fresh)
+            group, end = np.cumsum(fresh) - 1, np.r_[first[1:], len(doc)] - 1
+            docs = np.bincount(group, weights=fresh | np.r_[True, doc[1:] != doc[:-1]]).astype(np.int64)
+            top = doc[first]
+            goes_on = g is not None and g["key"] == (h1[0], h2[0])
+            if goes_on:
+                docs[0] += g["docs"] - (doc[0] == g["last"])
+                top[0] = g["top"]
+            elif g is not None and g["opens"]:
+                yield summary(g)
+            opens = g["opens"] if goes_on else g is None  # whether the batch's first group is the range's first
+            held = g["held"] if goes_on else []
+            many, later = docs >= min_docs, doc != top[group]
+            inner = np.ones(len(doc), bool)
+            if opens:
+                inner = group > 0
+                yield rows(1, [c[~inner] for c in columns])
+                if len(first) > 1:
+                    yield summary({"key": (h1[0], h2[0]), "top": top[0], "last": doc[end[0]], "docs": docs[0]})
+            if many[0]:
+                for x in held:
+                    yield rows(0, x)
+                held = []
+            yield rows(0, [c[inner & later & many[group]] for c in columns])
+            n = len(first) - 1
+            wait = inner & later & (group == n) & ~many[n]
+            held = [*(held if n == 0 else []), *([[c[wait] for c in columns]] if wait.any() else [])]
+            g = {"key": (h1[-1], h2[-1]), "top": top[n], "docs": docs[n], "last": doc[-1], "opens": opens and n == 0, "held": held}
+        if g is not None:
+            for x in g["held"]:
+                yield rows(1, x)
+            yield summary(g)
 
     return scan
 
@@ -125,7 +156,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     """
     spark = docs.sparkSession
     lines = stored(with_key(docs).where("doc_id is not null").mapInArrow(_lines(min_chars), _LINES), "lines")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // RANGE_LINES))
     keys = (F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("pos"))
     seen = stored(lines.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(_stream(min_docs), _SEEN), "line-groups")
     settled = [x for x in _settled(seen.where("what = 2").collect()) if x[3] >= min_docs]  # at most two groups a range

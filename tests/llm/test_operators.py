@@ -1,6 +1,7 @@
 """Each operator over one small table of hard cases, against plain Python."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -113,6 +114,31 @@ def test_decontamination(spark, sf, rows):
     assert sorted(want, key=str) == sorted_rows(decontamination.op1_decontamination(spark, sf))
 
 
+def test_decontamination_without_broadcast(spark, sf):
+    """Windows that are dealt out give what a broadcast table gives, and no words travel with them."""
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    one, other = decontamination.contamination(docs, bench), decontamination.contamination(docs, bench, broadcast_windows=0)
+    assert sorted_rows(one) == sorted_rows(other) and one.where("n_hit > 0").count() == 3
+
+
+def test_stars_in_tiles():
+    rng = np.random.default_rng(17)
+    fp = np.unique(np.uint64(1) << rng.integers(0, 40, 90, dtype=np.uint64) | np.uint64(1) << rng.integers(0, 40, 90, dtype=np.uint64) | rng.integers(0, 3, 90, dtype=np.uint64) << np.uint64(50))
+    home = rng.random(len(fp)) < 0.6
+    near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 2) & (home[:, None] | home[None, :])
+
+    def parts(edges):
+        label = {int(x): int(x) for x in fp}
+        for _ in fp:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    want = parts([(int(fp[i]), int(fp[j])) for i, j in zip(*np.nonzero(near))])
+    for tile in (4, 7, 1000):
+        assert parts([(int(a), int(b)) for a, b in zip(*simhash.stars(fp, home, 2, tile))]) == want
+
+
 def test_decontamination_actions(spark, sf, rows):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in decontamination.clean(docs, bench).collect()} == {41, 42, 43}
@@ -152,17 +178,17 @@ def test_line_groups_over_borders():
     part = Part()
     line_dedup.TaskContext.get, kept = staticmethod(lambda: part), line_dedup.TaskContext.get
     try:
-        for cut in ([0, 5, 11, 30], [0, 1, 2, 3], [0, 20, 21, 22]):
+        for cut, size in itertools.product(([0, 5, 11, 30], [0, 1, 2, 3], [0, 20, 21, 22], [0], [0, 40]), (1, 2, 3, 7, 1000)):
             gone, pending, summaries = set(), [], []
             for n, (a, b) in enumerate(zip(cut, [*cut[1:], len(rows)])):
                 part.n = n
                 batch = pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "pos" else pa.int64()) for k, v in zip(("h1", "h2", "doc_id", "text_key", "pos"), map(list, zip(*rows[a:b])))}) if a < b else None
-                for out in line_dedup._stream(5)(iter([batch] if batch else [])):
+                for out in line_dedup._stream(5)(iter([batch.slice(k, size) for k in range(0, len(batch), size)] if batch else [])):
                     for r in out.to_pylist():
                         (gone.add((r["h1"], r["doc_id"], r["pos"])) if r["what"] == 0 else pending.append(r) if r["what"] == 1 else summaries.append(type("R", (), r)))
             settled = {(h1, h2): top for h1, h2, top, docs in line_dedup._settled(summaries) if docs >= 5}
             gone |= {(r["h1"], r["doc_id"], r["pos"]) for r in pending if (r["h1"], r["h2"]) in settled and r["doc_id"] != settled[r["h1"], r["h2"]]}
-            assert gone == {(r[0], r[2], r[4]) for r in rows if r[0] != 2 and r[2] != 8}, cut
+            assert gone == {(r[0], r[2], r[4]) for r in rows if r[0] != 2 and r[2] != 8}, (cut, size)
     finally:
         line_dedup.TaskContext.get = kept
 
