@@ -34,8 +34,8 @@ from .shared import read, stored, utf8, whole_groups
 from .windows import WINDOW, Runs, mix
 
 #: Bits of an anchor hash that the filter sees; bits of the filter at most; bytes of text in one computation; anchors, and runs, held
-#: in a task; different runs of an anchor that are sorted together; windows in one radix sort.
-SEEN, FILTER, BLOCK, HELD, RUNS_HELD, WIDE, SORTED = 40, 28, 100_000, 4_000_000, 400_000, 2_048, 200_000
+#: in a task; different runs of an anchor that are sorted together (some 500,000 windows, 100 MB); windows of several anchors in one sort.
+SEEN, FILTER, BLOCK, HELD, RUNS_HELD, WIDE, SORTED = 40, 28, 100_000, 4_000_000, 400_000, 32_768, 200_000
 #: Bytes of a run, padded to whole digits; the last one holds the number of windows.
 RUN_BYTES = 80
 _OUT = "kind int, gram bigint, doc bigint, pack bigint, size bigint, text binary"
@@ -298,13 +298,18 @@ def _steps(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
 
 
+def _cut(wide: np.ndarray, row: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The windows at `step` of rows, without index arrays of their size."""
+    return np.lib.stride_tricks.sliding_window_view(wide, WINDOW, axis=1)[row, step]
+
+
 def _windows(found: Sorted, at: np.ndarray) -> pa.RecordBatch:
     """The intervals covered by single windows of the runs `at`, which stay, in order of gram and group of equals."""
     fresh = _first_of(found.same[at])
     one, of = at[fresh], np.cumsum(fresh) - 1  # one run of each group of equals; the group of each run
     run, step = _steps(_unpack(found.pack[one])[2])
     doc = found.least[one][run]
-    hit = np.flatnonzero(radix_groups(found.gram[one][run], found.wide[one[run][:, None], step[:, None] + np.arange(WINDOW)], doc) < doc)
+    hit = np.flatnonzero(radix_groups(found.gram[one][run], _cut(found.wide, one[run], step), doc) < doc)
     hits = np.bincount(run[hit], minlength=len(one))
     which, nth = _steps(hits[of])
     step = step[hit][(np.cumsum(hits) - hits)[of[which]] + nth]
@@ -392,7 +397,7 @@ def _singles(batches):
             tag, at, count = _unpack(pack)
             row, step = _steps(count)
             window = np.zeros((len(row), RUN_BYTES), np.uint8)
-            window[:, :WINDOW] = wide[row[:, None], step[:, None] + np.arange(WINDOW)]
+            window[:, :WINDOW] = _cut(wide, row, step)
             window[:, -1] = 1
             found = Sorted(digest(window[:, :WINDOW]).view(np.int64), doc[row], _pack(tag[row], at[row] + step, np.ones(len(row), np.int64)), window)
             yield from (found.covered, found.rows(1))
