@@ -37,4 +37,5 @@ def concat_id(*parts: Column) -> Column:
 
 
 def hash_id(*parts: Column) -> Column:
-    return F.xxhash64(*parts).cast("string")
+    """A hash of the parts, kept apart by a character that none of them holds."""
+    return F.md5(F.concat_ws("\x1f", *parts))

@@ -1,7 +1,7 @@
 """Forward geocoding: many parsed addresses against city and address tables, in one plan.
 
 Queries with neither a road nor a house name go to the cities, if they have a city or a country; others go to the streets,
-first of the primary source and, only for what it misses, of the secondary one. Tables are found by a phrase's rarest token,
+first of the primary source and, only for what it misses, of the secondary one. Rows are found by hashes of a phrase's first tokens,
 never by comparing all queries with all rows.
 """
 
@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import address, labels
-from ..functions.text import padded, tokens_folded, tokens_standard
+from ..functions.text import tokens_folded, tokens_standard
+from ..operators.postings import phrase_places
 from ..operators.search import B, K1
 from ..operators.settle import settled
 from .parse import spellings
@@ -46,16 +47,9 @@ def with_lookups(parsed: DataFrame, lookups: Lookups) -> DataFrame:
 
 def phrase_hits(phrases: DataFrame, docs: DataFrame, tokens: str) -> DataFrame:
     """(query_id, _id) where a phrase (query_id, code, words) occurs in a row; a null code is any country."""
-    words = settled(phrases.where(F.size("words") > 0).withColumn("n", F.monotonically_increasing_id()))
-    each = words.select("n", F.explode(F.array_distinct("words")).alias("token"))
-    post = docs.select("_id", "country_code", F.explode(F.array_distinct(tokens)).alias("token"))
-    df = post.join(each.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    rare = each.join(df, "token", "left").groupBy("n").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
-    wanted = words.join(rare, "n").select("query_id", "code", "token", padded(F.col("words")).alias("phrase"))
-    # Only ids travel with tokens; bodies come in once for each candidate.
-    met = post.join(wanted, "token").where(F.col("code").isNull() | (F.col("code") == F.col("country_code"))).select("query_id", "_id", "phrase")
-    body = docs.select("_id", padded(F.col(tokens)).alias("body"))
-    return body.join(met, "_id").where(F.contains("body", "phrase")).select("query_id", "_id").distinct()
+    rows = docs.select(F.col("_id").alias("id"), F.col(tokens).alias("w"), "country_code")
+    met = phrase_places(rows, phrases.select("query_id", "code", F.col("words").alias("qt")))
+    return met.where(F.col("code").isNull() | (F.col("code") == F.col("country_code"))).select("query_id", F.col("id").alias("_id")).distinct()
 
 
 def city_hits(queries: DataFrame, cities: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..folder import new_folder
 from ..functions import address, geo, labels, text
 from ..operators import keyed, postings, search as s, spatial
 from ..schema import ZONE
@@ -104,9 +105,9 @@ def filter_custom_nested_bool(spark, sf):
     return s.matching(table(spark, sf, "lineitem"), body).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("SELECT p_partkey FROM part WHERE p_size % 7 = 3 AND p_retailprice > 1000")
+@query("SELECT p_partkey FROM part WHERE p_size % 7 = 3 AND p_retailprice > 910")
 def filter_raw(spark, sf):
-    return s.matching(table(spark, sf, "part"), s.Search().filter_raw("p_size % 7 = 3").filter_raw(F.col("p_retailprice") > 1000)).select("p_partkey")
+    return s.matching(table(spark, sf, "part"), s.Search().filter_raw("p_size % 7 = 3").filter_raw(F.col("p_retailprice") > 910)).select("p_partkey")
 
 
 # ---- text
@@ -121,30 +122,47 @@ def match_phrase(spark, sf):
     return s.matching(table(spark, sf, "documents"), s.Search().filter_match_phrase("text", "of the")).select("doc_id")
 
 
-@query(f"SELECT doc_id, len({sql_tokens('text', True)})::BIGINT AS n, array_to_string(list_slice({sql_tokens('text', True)}, 1, 20), ' ') AS head FROM documents")
+_SQL_ANALYZED = "SELECT doc_id, len(w)::BIGINT AS n, md5(array_to_string(w, ' ')) AS words_md5 FROM (SELECT doc_id, {} AS w FROM documents)"
+
+
+@query(_SQL_ANALYZED.replace("{}", sql_tokens("text", True)))
 def analyze_folded(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", text.tokens_folded(F.col("text")).alias("t"))
-    return rows.select("doc_id", F.size("t").cast("bigint").alias("n"), F.array_join(F.slice("t", 1, 20), " ").alias("head"))
+    return rows.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("words_md5"))
 
 
-@query(f"SELECT doc_id, len({sql_tokens('text')})::BIGINT AS n, array_to_string(list_slice({sql_tokens('text')}, 1, 20), ' ') AS head FROM documents")
+@query(_SQL_ANALYZED.replace("{}", sql_tokens("text")))
 def analyze_standard(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", text.tokens_standard(F.col("text")).alias("t"))
-    return rows.select("doc_id", F.size("t").cast("bigint").alias("n"), F.array_join(F.slice("t", 1, 20), " ").alias("head"))
+    return rows.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("words_md5"))
+
+
+@query(f"""SELECT doc_id FROM documents WHERE lang = 'en' AND list_has_any({sql_tokens('text')}, ['ered', 'oned'])::INT
++ contains(' ' || array_to_string({sql_tokens('text')}, ' ') || ' ', ' of the ')::INT + (n_chars % 2 = 0)::INT >= 2""")
+def should_match_phrase_raw(spark, sf):
+    body = s.Search().filter_term("lang", "en").should_match("text", "Ered oned").should_match_phrase("text", "of the").should_raw("n_chars % 2 = 0").minimum_should_match(2)
+    return s.matching(table(spark, sf, "documents"), body).select("doc_id")
 
 
-@query(f"""WITH p AS (SELECT item_id, list_slice({sql_tokens('text')}, 1, 8) AS w FROM benchmark),
-d AS (SELECT doc_id, ' ' || array_to_string({sql_tokens('text')}, ' ') || ' ' AS body FROM documents)
-SELECT item_id, doc_id FROM p JOIN d ON len(w) > 0 AND contains(body, ' ' || array_to_string(w, ' ') || ' ')""")
+_SQL_RUNS = "{0} AS (SELECT DISTINCT {1}, n, list_slice(w, i, i + n - 1) AS gram FROM (SELECT {1}, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM {2}))"
+
+
+@query(f"""WITH b AS (SELECT item_id, w, least(len(w), 8) AS n FROM (SELECT item_id, {sql_tokens('text')} AS w FROM benchmark) WHERE len(w) > 0),
+{_SQL_RUNS.format('q', 'item_id', 'b')}, d AS (SELECT doc_id, w, n FROM (SELECT doc_id, {sql_tokens('text')} AS w FROM documents), (SELECT DISTINCT n FROM b) WHERE len(w) >= n),
+{_SQL_RUNS.format('p', 'doc_id', 'd')} SELECT item_id, doc_id, count(*)::BIGINT AS runs FROM q JOIN p USING (n, gram) GROUP BY ALL""")
 def phrase_join_benchmark(spark, sf):
+    """Every run of eight words of every item, as a phrase."""
     docs = table(spark, sf, "documents").select("doc_id", text.tokens_standard(F.col("text")).alias("words"))
-    phrases = table(spark, sf, "benchmark").select("item_id", F.slice(text.tokens_standard(F.col("text")), 1, 8).alias("q"))
-    return postings.phrase_join(docs, "doc_id", "words", phrases, "item_id", "q")
+    items = table(spark, sf, "benchmark").select("item_id", text.tokens_standard(F.col("text")).alias("w")).where(F.size("w") > 0)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 7)), lambda i: F.slice("w", i, 8))
+    phrases = items.select("item_id", F.explode(F.array_distinct(runs)).alias("q")).select(F.struct("item_id", "q").alias("phrase"), "q")
+    met = postings.phrase_join(docs, "doc_id", "words", phrases, "phrase", "q")
+    return met.groupBy(F.col("phrase.item_id").alias("item_id"), "doc_id").agg(F.count("*").alias("runs"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {sql_tokens('text')} AS w FROM documents),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
-q AS (SELECT item_id, tok, count(*) AS times FROM (SELECT item_id, unnest(list_slice({sql_tokens('text')}, 1, 3)) AS tok FROM benchmark) GROUP BY ALL),
+q AS (SELECT item_id, tok, count(*) AS times FROM (SELECT item_id, unnest({sql_tokens('text')}) AS tok FROM benchmark) GROUP BY ALL),
 p AS (SELECT doc_id, tok, count(*) AS tf, max(dl) AS dl FROM (SELECT doc_id, unnest(w) AS tok, len(w) AS dl FROM d) GROUP BY doc_id, tok),
 f AS (SELECT tok, count(*) AS df FROM p GROUP BY tok),
 x AS (SELECT item_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
@@ -152,7 +170,7 @@ x AS (SELECT item_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) *
 SELECT item_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM x) WHERE rank <= 3""")
 def bm25_topk(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", text.tokens_standard(F.col("text")).alias("words"))
-    asked = table(spark, sf, "benchmark").select("item_id", F.slice(text.tokens_standard(F.col("text")), 1, 3).alias("q"))
+    asked = table(spark, sf, "benchmark").select("item_id", text.tokens_standard(F.col("text")).alias("q"))
     scored = postings.bm25(docs, "doc_id", "words", asked, "item_id", "q")
     return postings.best(scored, "item_id", "doc_id", 3).select("item_id", F.round("score", 4).alias("score"), "rank")
 
@@ -174,6 +192,16 @@ def nested_exists(spark, sf):
     return s.matching(_orders(spark, sf), s.Search().filter_nested("lines", s.Search().filter_term("lines.l_returnflag", "R").filter_range("lines.l_quantity", "", 45))).select("o_orderkey")
 
 
+@query("""SELECT o_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey
+HAVING bool_or(l_returnflag = 'R')::INT + bool_or(l_quantity >= 49)::INT + bool_or(l_tax >= 0.08)::INT >= 2""")
+def should_nested(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_quantity", "l_returnflag", "l_tax")).alias("lines"))
+    rows = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    body = s.Search().minimum_should_match(2).should_nested("lines", s.Search().filter_term("lines.l_returnflag", "R"))
+    body = body.should_nested("lines", s.Search().filter_range("lines.l_quantity", "", 49)).should_nested("lines", s.Search().filter_range("lines.l_tax", "", 0.08))
+    return s.matching(rows, body).select("o_orderkey")
+
+
 @query("""SELECT o_orderkey, count(*)::BIGINT AS n, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 WHERE l_returnflag = 'R' AND l_quantity >= 49 GROUP BY o_orderkey""")
 def nested_inner_hits(spark, sf):
@@ -324,7 +352,7 @@ def concat_id(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", address.concat_id(F.col("s_suppkey").cast("string"), F.col("s_name"), F.col("s_nationkey").cast("string")).alias("id"))
 
 
-@query()
+@query("SELECT s_suppkey, md5(s_name || chr(31) || s_nationkey::VARCHAR) AS id FROM supplier")
 def hash_id(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", address.hash_id(F.col("s_name"), F.col("s_nationkey")).alias("id"))
 
@@ -550,8 +578,8 @@ def forward_city_unknown_country(spark, sf):
 
 
 def _streets(spark, sf, lang):
-    """Documents of a language as addresses: the first 12 words are the street."""
-    words = F.slice(text.tokens_standard(F.col("text")), 1, 12)
+    """Documents of a language as addresses: the whole text is the street."""
+    words = text.tokens_standard(F.col("text"))
     rows = table(spark, sf, "documents").where(F.col("lang") == lang)
     null = F.lit(None).cast("string")
     return rows.select(F.col("doc_id").alias("_id"), F.array_join(words, " ").alias("street"), F.col("source").alias("city"), F.lit("xx").alias("country_code"), (F.col("doc_id") % 100).cast("string").alias("number"), null.alias("unit"), null.alias("district"), F.col("source").alias("region"), (F.col("doc_id") % 50).cast("string").alias("postcode"), F.struct(F.lit(1.5).cast("float").alias("lat"), F.lit(2.5).cast("float").alias("lon")).alias("location"))
@@ -573,7 +601,7 @@ def _road_queries(spark):
 def _sql_street(langs: list[str], out: str) -> str:
     parts = []
     for lang in langs:
-        parts.append(f"""d_{lang} AS (SELECT doc_id AS _id, ' ' || array_to_string(list_slice({sql_tokens('text')}, 1, 12), ' ') || ' ' AS street, source, (doc_id % 100)::VARCHAR AS number, (doc_id % 50)::VARCHAR AS postcode FROM documents WHERE lang = '{lang}'),
+        parts.append(f"""d_{lang} AS (SELECT doc_id AS _id, ' ' || array_to_string({sql_tokens('text', True)}, ' ') || ' ' AS street, source, (doc_id % 100)::VARCHAR AS number, (doc_id % 50)::VARCHAR AS postcode FROM documents WHERE lang = '{lang}'),
 n_{lang} AS (SELECT count(*) AS n FROM d_{lang}), fn_{lang} AS (SELECT number, count(*) AS df FROM d_{lang} GROUP BY 1), fp_{lang} AS (SELECT postcode, count(*) AS df FROM d_{lang} GROUP BY 1),
 s_{lang} AS (SELECT query_id, d._id, CASE WHEN q.number = d.number THEN ln(1 + (n - fn.df + 0.5) / (fn.df + 0.5)) / 2.2 ELSE 0 END + CASE WHEN q.postcode = d.postcode THEN ln(1 + (n - fp.df + 0.5) / (fp.df + 0.5)) / 2.2 ELSE 0 END AS score
   FROM q JOIN d_{lang} d ON contains(d.street, ' ' || road || ' ') AND (q.city IS NULL OR q.city = d.source) JOIN fn_{lang} fn ON fn.number = d.number JOIN fp_{lang} fp ON fp.postcode = d.postcode, n_{lang}),
@@ -594,6 +622,36 @@ def forward_fallback(spark, sf):
     return rows.select("query_id", F.col("location.source").alias("source"), F.col("location.number").alias("number"))
 
 
+_SQL_STREETS = _sql_street(["en", "fr"], "SELECT query_id, _id, src, q.number FROM (SELECT * FROM b_en UNION ALL SELECT * FROM b_fr WHERE query_id NOT IN (SELECT query_id FROM b_en)) JOIN q USING (query_id)")
+_SQL_CITIES = f"""SELECT query_id, min_by(c_mktsegment || ' ' || n_name, rank) AS city, min_by(region, rank) AS region, count(*) - 1 AS more
+FROM ({_sql_city(_ASKED)}) JOIN customer ON c_custkey = _id JOIN nation ON c_nationkey = n_nationkey GROUP BY query_id"""
+
+
+@query(f"""SELECT a.query_id, coalesce(c.city, d.source) AS city, coalesce(c.region, d.source) AS region, CASE WHEN c.city IS NOT NULL THEN 'Geonames' ELSE s.src END AS source,
+CASE WHEN c.city IS NOT NULL THEN '' ELSE s.number END AS number, coalesce(c.more, 0)::INT AS more
+FROM (SELECT unnest(range(1, {len(_ASKED) + 1}))::BIGINT AS query_id UNION ALL SELECT unnest(range(11, {len(_ROADS) + 11}))::BIGINT) a
+LEFT JOIN ({_SQL_CITIES}) c USING (query_id) LEFT JOIN (SELECT query_id + 10 AS query_id, _id, src, number FROM ({_SQL_STREETS})) s USING (query_id) LEFT JOIN documents d ON s._id = d.doc_id""")
+def forward_routed(spark, sf):
+    """City and street queries together, from their parts to locations."""
+    groups = literal(spark, _CITY_ALIASES, "group_no int, labels array<string>")
+    look = fw.Lookups(labels.alias_table(groups), literal(spark, _CITY_LABELS, "label string, code string"), literal(spark, _LANGUAGES, "code string, languages array<string>"))
+    roads = _road_queries(spark)[0].select((F.col("query_id") + 10).alias("query_id"), "parsed")
+    sources = [(lang, _streets(spark, sf, lang)) for lang in ("en", "fr")]
+    found = fw.forward(_asked(spark, _ASKED).union(roads), places(spark, sf), sources, look)
+    return found.select("query_id", *(F.col(f"location.{c}").alias(c) for c in ("city", "region", "source", "number")), F.size("other").alias("more"))
+
+
+@query()
+def forward_free_text(spark, sf):
+    """Free text to location: parsed, looked up, routed, answered."""
+    names = parse.Gazetteer.of(["america", "asia", "atlantis"], [], ["household nation_1", "building nation_1", "tower"])
+    asked = literal(spark, [(1, "Building NATION_1, America"), (2, "of the street 12, 0007"), (3, "Tower, Atlantis"), (4, " ")], "query_id bigint, address string")
+    groups = literal(spark, _CITY_ALIASES, "group_no int, labels array<string>")
+    look = fw.Lookups(labels.alias_table(groups), literal(spark, _CITY_LABELS, "label string, code string"), literal(spark, _LANGUAGES, "code string, languages array<string>"))
+    found = fw.forward(parse.parsed(asked, names), places(spark, sf), [("en", _streets(spark, sf, "en"))], look)
+    return found.select("query_id", F.col("location.city").alias("city"), F.col("location.source").alias("source"), F.size("other").alias("more"))
+
+
 _FIRST = "coalesce(code, '') <> 'be' AND coalesce(list_has_any(languages, ['en', 'fr']), false)"
 
 
@@ -615,6 +673,7 @@ def result_number_unit(spark, sf):
     return rows.select("s_suppkey", address.result_number(number).alias("number"), address.result_unit(F.col("s_name"), unit).alias("unit"), address.floor2(F.col("s_acctbal")).alias("floored"))
 
 
+#: Fixed inputs.
 _FREE_TEXT = [(1, "461 W Main St, Cheshire, 06410"), (2, "Geislersgade 14, 3 th 2300 Copenhagen"), (3, "178 Columbus Avenue; #231573; New York, NY 10023, US, United States"), (4, "Metz, Lorraine, France")]
 
 
@@ -636,13 +695,46 @@ def escape_text(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.escaped(F.concat("p_name", F.lit("(1)/a-b"))).alias("escaped"))
 
 
+@query("""SELECT p_partkey, replace(replace(concat(p_name, chr(39), chr(92), p_brand), chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)) AS quoted,
+(p_size > 25)::INT::VARCHAR AS digit FROM part""")
+def quote_bool_digit(spark, sf):
+    rows = table(spark, sf, "part")
+    return rows.select("p_partkey", text.quoted(F.concat("p_name", F.lit("'\\"), "p_brand")).alias("quoted"), text.bool_digit(F.col("p_size") > 25).alias("digit"))
+
+
+# ---- files: the tables written out in a source's format, and read back
+
+def _columns(width: int, held: dict):
+    return [(held[i] if i in held else F.lit("x")).cast("string").alias(f"c{i}") for i in range(width)]
+
+
+@query("""SELECT c_custkey::VARCHAR AS id, c_name AS city, c_custkey % 90 + 0.5::DOUBLE AS lat, -(c_custkey % 180) - 0.25::DOUBLE AS long, 'n' || c_nationkey AS country_code,
+CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_custkey * 3 END::BIGINT AS population, 'Geonames' AS source FROM customer WHERE c_mktsegment = 'BUILDING'""")
+def read_geonames(spark, sf):
+    key = F.col("c_custkey")
+    held = {0: key, 1: F.col("c_name"), 4: key % 90 + 0.5, 5: -(key % 180) - 0.25, 6: F.when(F.col("c_mktsegment") == "BUILDING", "P").otherwise("S"), 8: F.concat(F.lit("N"), "c_nationkey"), 14: F.when(key % 7 == 0, "none").otherwise((key * 3).cast("string"))}
+    at = new_folder(spark, "geonames")
+    table(spark, sf, "customer").select(*_columns(19, held)).write.csv(at, sep="\t", quote="")
+    return readers.geonames(spark, at)
+
+
+@query("""SELECT postcode || city || street || number || country_code AS id, postcode, city, street, number, lat, long, country_code, 'OpenStreetDataAddress' AS source
+FROM (SELECT (s_suppkey % 50)::VARCHAR AS postcode, 'City ' || s_nationkey AS city, s_name AS street, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_suppkey::VARCHAR END AS number,
+s_suppkey / 8 AS lat, -s_suppkey / 4 AS long, 'xx' AS country_code FROM supplier)""")
+def read_houses(spark, sf):
+    key = F.col("s_suppkey")
+    number = F.when(key % 5 != 0, key.cast("string"))
+    held = {0: key % 50, 1: F.concat(F.lit("City "), "s_nationkey"), 2: F.col("s_name"), 3: number, 4: -key / 4, 5: key / 8, 6: F.lit("XX")}
+    at = new_folder(spark, "houses")
+    table(spark, sf, "supplier").select(*_columns(7, held)).write.csv(at, sep="\t", header=True, compression="gzip", quote="")
+    return readers.houses(spark, at)
+
+
 # ---- streams
 
 def _landing(spark, sf):
     """The events as messages in a folder of their own; every fifth line is cut, every seventh has an unknown source."""
-    from ..streaming.shared import folder
-
-    root = folder(spark, "ingest")
+    root = new_folder(spark, "ingest")
     rows = table(spark, sf, "events")
     loc = F.struct(F.concat(F.lit("u"), "user_id").alias("id"), F.col("event_type").alias("city"), F.lit("xx").alias("country_code"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("long"), F.col("event_id").alias("population"), F.when(F.col("event_id") % 7 == 0, "Elsewhere").otherwise("Geonames").alias("source"))
     line = F.to_json(F.struct(F.array(loc).alias("locations")))
