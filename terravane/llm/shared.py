@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..folder import new_folder, shared_root
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space, as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -24,21 +24,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. The cluster names it in spark.checkpoint.dir; a temporary one is made only
-    where that is unset, as in tests on one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="terravane-checkpoints-"))
-    return context.getCheckpointDir().rstrip("/")
+#: Paths of the tables that stored() wrote, for those who know when they are done with.
+written: list[str] = []
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
     """A small result, written to the shared folder; later stages read it back from there."""
-    shared_dir(frame.sparkSession)
+    shared_root(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
@@ -46,11 +38,19 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     """A larger intermediate result, written as a Parquet table in the shared folder, so that later readers prune columns
     and a lost executor costs nothing that was computed before."""
     spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     frame.write.option("compression", "zstd").parquet(path)
+    written.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables in the shared folder."""
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        path(p).getFileSystem(conf).delete(path(p), True)
+
+
 def rereadable(frame: DataFrame) -> bool:
     """Whether `frame` is a table as it is stored, so that every reading gives its rows in the same order."""
     plan = frame._jdf.queryExecution().optimizedPlan()
