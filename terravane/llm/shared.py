@@ -83,6 +83,18 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", F.col("new").alias("root"))
 
 
+def least_labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest member of each member's component."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, x, label[y])
+        np.minimum.at(label, y, label[x])
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Of a partition sorted by `key`, pieces that hold whole groups of equal keys."""
     held: list[pa.RecordBatch] = []

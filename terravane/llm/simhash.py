@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh64_intdigest
 
 from . import shingle_join
-from .shared import checkpointed, components, read, stored, utf8, whole_groups
+from .shared import checkpointed, components, least_labels, read, stored, utf8, whole_groups
 
 SEED, BITS = 42, 3
 PART = (1 << 31) - 1
@@ -84,18 +84,6 @@ def _replicate(batches):
         yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(fp[at].view(np.int64)), pa.array(home)], names=["anchor", "fp", "home"])
 
 
-def _least_labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The smallest member of each member's component."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, x, label[y])
-        np.minimum.at(label, y, label[x])
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def stars(fp: np.ndarray, home: np.ndarray, bits: int = BITS, tile: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join what is linked through the homes of one anchor: each member to the first of its component.
 
@@ -108,10 +96,10 @@ def stars(fp: np.ndarray, home: np.ndarray, bits: int = BITS, tile: int = 2048)
         for j in range(0, n, tile):
             x, y = np.nonzero(np.bitwise_count(fp[i : min(i + tile, m), None] ^ fp[None, j : j + tile]) <= bits)
             who, at = np.unique(np.r_[x + i, y + j], return_inverse=True)
-            label = _least_labels(len(who), at[: len(x)], at[len(x) :])
+            label = least_labels(len(who), at[: len(x)], at[len(x) :])
             moved = np.flatnonzero(label != np.arange(len(who)))
             left.append(who[moved]), right.append(who[label[moved]])
-    label = _least_labels(n, *(np.concatenate([*x, np.zeros(0, np.int64)]) for x in (left, right)))
+    label = least_labels(n, *(np.concatenate([*x, np.zeros(0, np.int64)]) for x in (left, right)))
     moved = np.flatnonzero(label != np.arange(n))
     return fp[moved], fp[label[moved]]
 
