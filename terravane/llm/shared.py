@@ -64,11 +64,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Returns (node, root), root being the smallest node of the component, for every node that has an edge. Each round
     takes the least label among the neighbours (combined before the shuffle) and then jumps to the label's own label;
-    labels stay distributed and each round is cut by a checkpoint.
+    labels stay distributed and each round is cut by a checkpoint. `edges` is evaluated once, so that both directions come from the
+    same edges even where another evaluation would choose others, such as stars around the row that came first.
     """
-    both = checkpointed(
-        edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-    )
+    ways = F.array(F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = checkpointed(edges.where("src <> dst").select(F.explode(ways).alias("way")).select("way.*").distinct())
     labels = checkpointed(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("root")))
     while True:
         heard = both.join(labels, both.src == labels.node).groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("heard"))

@@ -127,7 +127,7 @@ def near_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
         raise ValueError("the covering holds for at most three differing bits")
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = prints.select("fp").mapInArrow(_replicate, "anchor bigint, fp bigint, home boolean")
-    return met.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(bits), "src bigint, dst bigint")
+    return met.repartition(n, "anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_compare(bits), "src bigint, dst bigint")
 
 
 def print_components(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataFrame:

@@ -7,9 +7,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from terravane.llm import decontamination, embedding_dedup, hmm, line_dedup, mixing, pii, quality, queries, sharding, simhash, substring_dedup, windows
+from terravane.llm import decontamination, embedding_dedup, hmm, line_dedup, mixing, pii, quality, queries, sharding, shared, simhash, substring_dedup, windows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 BOILER = "  This line of boilerplate is repeated in very many documents.  "
@@ -139,6 +140,21 @@ def test_stars_in_tiles():
         assert parts([(int(a), int(b)) for a, b in zip(*simhash.stars(fp, home, 2, tile))]) == want
 
 
+def test_components_of_edges_that_every_evaluation_chooses_anew(spark):
+    """Stars around another member each time, as tasks give whose rows come in another order."""
+
+    def stars(batches):
+        rng = np.random.default_rng()
+        for batch in batches:
+            for g in batch.column("id").to_pylist():
+                members = 10 * g + np.arange(10)
+                hub = int(rng.integers(10))
+                yield pa.RecordBatch.from_arrays([pa.array(np.delete(members, hub)), pa.array(np.full(9, members[hub]))], names=["src", "dst"])
+
+    found = shared.components(spark.range(60).mapInArrow(stars, "src bigint, dst bigint")).collect()
+    assert sorted((r.node, r.root) for r in found) == [(v, v // 10 * 10) for v in range(600)]
+
+
 def test_decontamination_actions(spark, sf, rows):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in decontamination.clean(docs, bench).collect()} == {41, 42, 43}
