@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .shared import read, stored, utf8
+from .shared import pieces, read, stored, utf8
 
 FOLD, FOLDS = 1, 3
 #: Shares of the pooled covariance and of the identity in each class covariance.
@@ -71,7 +71,7 @@ def featured(docs: DataFrame, *more) -> DataFrame:
     kinds = {f.name: f.dataType for f in rows.schema.fields}
 
     def scan(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = np.array([statistics(x) for x in utf8(batch.column("text"))]).reshape(-1, WIDTH)
             x = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * WIDTH), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), x], names=[*keep, "x"])
@@ -150,7 +150,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
     model = fit(featured(docs), labels)
 
     def scan(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = np.array([statistics(x) for x in utf8(batch.column("text"))]).reshape(-1, WIDTH)
             yield batch.filter(pa.array(model.score(found) >= least))
 

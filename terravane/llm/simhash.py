@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh64_intdigest
 
 from . import shingle_join
-from .shared import checkpointed, components, least_labels, read, stored, utf8, whole_groups
+from .shared import checkpointed, components, least_labels, pieces, read, stored, utf8, whole_groups
 
 SEED, BITS = 42, 3
 PART = (1 << 31) - 1
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
     def scan(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = np.array([fingerprint(x, width) for x in utf8(batch.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
 
