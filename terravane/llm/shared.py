@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 written: list[str] = []
 
 
+#: Seconds between two collections of the driver's garbage, and when the last one was.
+TIDY_S = 2
+_tidied = [time.monotonic()]
+
+
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage if TIDY_S have passed since the last time.
+
+    Only then does Spark give up the shuffles, broadcasts and checkpoints of steps that are over. In work of many steps what they
+    leave in the driver grows with their tasks, and its heap with it to the largest size allowed.
+    """
+    if time.monotonic() - _tidied[0] >= TIDY_S:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _tidied[0] = time.monotonic()
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
     """A small result, written to the shared folder; later stages read it back from there."""
     shared_root(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    out = frame.checkpoint(eager=True)
+    tidy(frame.sparkSession)
+    return out
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
@@ -41,6 +62,7 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     frame.write.option("compression", "zstd").parquet(path)
     written.append(path)
+    tidy(spark)
     return spark.read.schema(frame.schema).parquet(path)
 
 

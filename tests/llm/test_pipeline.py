@@ -132,3 +132,20 @@ def test_near_dedup_stage_finds_every_near_copy(spark):
     kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect())
     assert kept == sorted(set(label))
     assert 60 < len(kept) < 200
+
+
+def test_the_driver_is_rid_of_steps_that_are_over(spark, monkeypatch):
+    """While components are found in many rounds, the driver's garbage is collected, not only when its heap is full."""
+    from terravane.llm import shared
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    collected = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    path = spark.createDataFrame([(i, i + 1) for i in range(64)], "src long, dst long")
+    monkeypatch.setattr(shared, "TIDY_S", 0, raising=False)
+    before = collected()
+    assert {r.root for r in shared.components(path).collect()} == {0}
+    assert collected() - before >= 5
+    monkeypatch.setattr(shared, "TIDY_S", 3600)
+    before = collected()
+    shared.checkpointed(spark.range(10))
+    assert collected() == before
