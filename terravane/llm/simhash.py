@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh64_intdigest
 
-from . import shingle_join
 from .shared import checkpointed, components, least_labels, pieces, read, stored, utf8, whole_groups
 
 SEED, BITS = 42, 3
@@ -141,11 +140,6 @@ def print_components(docs: DataFrame, width: int = 3, bits: int = BITS) -> DataF
     return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each group of near copies, for the pipeline: groups by exact similarity, see shingle_join."""
-    return shingle_join.keep_one(docs)
-
-
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: its fingerprint and the smallest doc_id of its component."""
     return print_components(read(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -134,6 +134,30 @@ def test_near_dedup_stage_finds_every_near_copy(spark):
     assert 60 < len(kept) < 200
 
 
+def test_near_dedup_stage_meets_at_anchors(spark, monkeypatch):
+    """Sets whose fingerprints differ in three bits at most meet by the covering, and only there."""
+    import numpy as np
+
+    from terravane.llm import shingle_join
+
+    rng, texts = np.random.default_rng(6), []
+    for k in range(40):
+        one = [f"w{i}" for i in rng.integers(0, 3000, 400)]
+        texts += [one, [*one, "end"], ["start", *one, f"end{k}"]]
+    prints = [shingle_join.fingerprint(shingle_join.shingles(" ".join(t).encode())) for t in texts]
+    near = [(i, j) for k in range(40) for i in range(3 * k, 3 * k + 3) for j in range(i) if j >= 3 * k and (prints[i] ^ prints[j]).bit_count() <= 3]
+    assert len({i // 3 for i, _ in near}) > 30
+    label = list(range(len(texts)))
+    for i, j in near:
+        label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(shingle_join, "_meet", lambda batches: iter(()))  # nothing meets on shingles
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == sorted(set(label))
+    monkeypatch.undo()
+    monkeypatch.setattr(shingle_join, "near_links", lambda prints, bits: spark.createDataFrame([], "src long, dst long"))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} > {3 * k for k in range(40)}
+
+
 def test_the_driver_is_rid_of_steps_that_are_over(spark, monkeypatch):
     """While components are found in many rounds, the driver's garbage is collected, not only when its heap is full."""
     from terravane.llm import shared
